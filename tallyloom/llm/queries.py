@@ -3,28 +3,118 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyloom.llm import exact_dedup
+from tallyloom.llm import exact_dedup, mixing, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The tree of op1: domains are made up from the number in a source's name.
+DOMAIN = F.concat(F.lit("d"), F.coalesce((F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) AS int)") % 3).cast("string"), F.lit("x")))
+LEVELS = {"domain": DOMAIN, "lang": F.col("lang"), "source": F.col("source")}
+WEIGHTS = [{"d0": 5, "d1": 3, "d2": 2}, {"en": 6, "fr": 2, "de": 1, "es": 1}, {}]
+SHARE, EPOCHS, SEED = (3, 5), 2, 17
+
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", *[e.alias(n) for n, e in LEVELS.items()])
+    return mixing.mix(docs, list(LEVELS), WEIGHTS, SHARE, EPOCHS, SEED)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_url_filter": op9_url_filter,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _shared(level: str, parents: str, family: str) -> str:
+    """SQL of one level of the mix: shares a family's budget; the water level is found by trying every prefix of the order."""
+    on = f"PARTITION BY {parents}" if parents else ""
+    return f"""(SELECT * REPLACE (CASE WHEN full_ THEN cap ELSE (weight * (budget - coalesce(sum(cap) FILTER (full_) OVER ({on}), 0))) //
+                 (sum(weight) FILTER (NOT full_) OVER ({on})) END AS alloc) FROM (
+             SELECT *, 0::HUGEINT AS alloc, cap * (sum(weight) OVER ({on}) - coalesce(sum(weight) OVER w, 0))
+                    <= weight * (budget - coalesce(sum(cap) OVER w, 0)) AS full_
+             FROM {family}
+             WINDOW w AS ({on} ORDER BY cap::DOUBLE / weight::DOUBLE, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))"""
+
+
+_MIX = f"""
+    WITH d AS (
+        SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+               'd' || coalesce((try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 3)::VARCHAR, 'x') AS domain,
+               len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens
+        FROM documents),
+    leaves AS (SELECT domain, lang, source, sum(tokens)::HUGEINT AS t, sum(tokens)::HUGEINT * {EPOCHS} AS c FROM d GROUP BY ALL),
+    f1 AS (SELECT domain, sum(c)::HUGEINT AS cap, (CASE domain WHEN 'd0' THEN 5 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END)::HUGEINT AS weight,
+                  (SELECT sum(t)::HUGEINT * {SHARE[0]} // {SHARE[1]} FROM leaves)::HUGEINT AS budget FROM leaves GROUP BY domain),
+    a1 AS {_shared('domain', '', 'f1')},
+    f2 AS (SELECT domain, lang, sum(c)::HUGEINT AS cap, (CASE lang WHEN 'en' THEN 6 WHEN 'fr' THEN 2 ELSE 1 END)::HUGEINT AS weight,
+                  any_value(a1.alloc)::HUGEINT AS budget FROM leaves JOIN a1 USING (domain) GROUP BY domain, lang),
+    a2 AS {_shared('lang', 'domain', 'f2')},
+    f3 AS (SELECT domain, lang, source, c AS cap, 1::HUGEINT AS weight, a2.alloc::HUGEINT AS budget, t FROM leaves JOIN a2 USING (domain, lang)),
+    a3 AS {_shared('source', 'domain, lang', 'f3')},
+    plan AS (SELECT domain, lang, source, (alloc // t)::BIGINT AS whole, (alloc % t)::BIGINT AS rem FROM a3 WHERE t > 0),
+    p AS (SELECT doc_id, domain, lang, source, tokens, whole, rem,
+                 ('0x' || substr(md5('{SEED}:' || whole || ':' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM d JOIN plan USING (domain, lang, source))
+    SELECT doc_id, domain, lang, source, tokens, unnest(range(whole)) AS epoch FROM p
+    UNION ALL
+    SELECT doc_id, domain, lang, source, tokens, whole FROM (
+        SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY h, doc_id) AS upto FROM p WHERE rem > 0) WHERE upto <= rem"""
+
+
+def _url_sql() -> str:
+    keys = [f"s{k}" for k in range(url_filter.DEPTH)]
+    parts = ", ".join(f"""CASE WHEN regexp_full_match(coalesce(seg[{k + 1}], ''), '[0-9a-f]{{8,}}') AND regexp_matches(seg[{k + 1}], '[a-f]') THEN '{{hex}}'
+        ELSE regexp_replace(coalesce(seg[{k + 1}], ''), '^[0-9]+($|\\.)', '{{n}}\\1') END AS s{k}""" for k in range(url_filter.DEPTH))
+    rules = sorted(URL_RULES, key=lambda r: -len(r[1]))
+    fits = [(v, t, f"(host = '{t.split('/')[0]}' OR ends_with(host, '.{t.split('/')[0]}')) AND starts_with(path, '/{t.partition('/')[2]}')") for v, t in rules]
+    which = lambda i: "CASE " + " ".join(f"WHEN {c[2]} THEN '{c[i]}'" for c in fits) + " END"
+    levels, made = "", "t"
+    for k in range(url_filter.DEPTH):
+        up = ", ".join(["host", *[f"g{i}" for i in range(k)]])
+        levels += f"""
+    b{k} AS (SELECT {up}, s{k}, sum(n) AS n, sum(l)::BIGINT AS l, sum(b)::BIGINT AS b FROM {made} WHERE s{k} <> '' GROUP BY ALL),
+    o{k} AS (SELECT *, count(*) OVER w AS c, (sum(l) OVER w)::BIGINT AS tl, (sum(b) OVER w)::BIGINT AS tb FROM b{k} WINDOW w AS (PARTITION BY {up})),
+    n{k} AS (SELECT {up}, s{k}, CASE WHEN NOT (n < 5 AND c > 8) AND l > 0 AND tl > l AND tb > 0 AND tl > tb
+        AND tl::DOUBLE * (b * ((tl - l) - (tb - b)) - (tb - b) * (l - b))::DOUBLE * (b * ((tl - l) - (tb - b)) - (tb - b) * (l - b))::DOUBLE
+            / (l::DOUBLE * (tl - l)::DOUBLE * tb::DOUBLE * (tl - tb)::DOUBLE) >= 3.84 THEN s{k} ELSE '*' END AS g{k} FROM o{k}),
+    t{k} AS (SELECT x.*, coalesce(y.g{k}, '') AS g{k} FROM {made} x LEFT JOIN n{k} y USING ({up}, s{k})),"""
+        made = f"t{k}"
+    name = "host || " + " || ".join(f"CASE WHEN g{k} = '' THEN '' ELSE '/' || g{k} END" for k in range(url_filter.DEPTH))
+    return f"""
+    WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                      regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+    r AS (SELECT *, {which(1)} AS rule, {which(0)} AS said, list_filter(string_split(path, '/'), lambda s: s <> '') AS seg FROM u),
+    v AS (SELECT page_id, host, path, rule, said, {parts} FROM r),
+    t AS (SELECT host, {', '.join(keys)}, count(*) AS n, count(said) AS l, count(*) FILTER (said = 'block') AS b FROM v GROUP BY ALL),{levels}
+    m AS (SELECT host, {', '.join(keys)}, l, b, {name} AS template FROM {made}),
+    s AS (SELECT template, (sum(b) + 2.0::DOUBLE) / (sum(l) + 4.0::DOUBLE) > 0.7::DOUBLE AS bad FROM m GROUP BY template)
+    SELECT page_id, host, path, rule, coalesce(said, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict, template
+    FROM v JOIN m USING (host, {', '.join(keys)}) JOIN s USING (template)"""
+
+
 ORACLE_SQL = {
+    "op1_mixing": _MIX,
     "op6_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+    "op9_url_filter": _url_sql(),
 }
