@@ -1,7 +1,7 @@
 """License scan: ordered signature rules over whole texts.
 
-Hundreds of regular expressions, each with a label, a priority and a keyword. One Aho-Corasick pass over a text tells
-which keywords occur; only their rules run. Detections are intervals of words. A detection goes if it lies within that of
+Hundreds of regular expressions, each with a label, a priority and keywords. One Aho-Corasick pass over a text tells
+which keywords stand in it as words; only rules with all their keywords there run. Detections are intervals of words. A detection goes if it lies within that of
 a rule of higher priority, or within a longer one of the same priority; the labels of the rest are the text's labels.
 
 The rules are written as families (names, versions) times forms (notice, SPDX tag, address); ``signature_rules`` spells
@@ -39,7 +39,7 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 class Rule:
     label: str
     priority: int
-    keyword: bytes
+    keywords: tuple[str, ...]
     pattern: re.Pattern[bytes]
     weight: float
 
@@ -123,6 +123,9 @@ _WHOLE = [
 ]
 
 
+_COMMON = {"in", "the", "do", "this", "all", "or", "by", "later", "only", "what"}
+
+
 @cache
 def signature_rules() -> tuple[Rule, ...]:
     """All rules, highest priority first."""
@@ -130,15 +133,15 @@ def signature_rules() -> tuple[Rule, ...]:
     for label, keyword, names, versions in _FAMILIES:
         for name in names:
             for before, behind, priority, weight in _FORMS:
-                out.append(Rule(label, priority, keyword.encode(), _compiled(f"{before} {name} {behind}"), weight))
+                out.append(Rule(label, priority, _words(keyword, behind), _compiled(f"{before} {name} {behind}"), weight))
                 for v in versions:
                     numbered = f"{before} {name} {behind} (version|v)? v?{v.replace('.', ' ')}"
-                    out.append(Rule(f"{label}-{v}", priority + 10, keyword.encode(), _compiled(numbered), weight))
+                    out.append(Rule(f"{label}-{v}", priority + 10, _words(keyword, behind), _compiled(numbered), weight))
     for label, tags in _TAGS.items():
         for tag in tags:
-            out.append(Rule(label, 90, b"spdx", _compiled(f"spdx license identifier {tag}"), 1.0))
-            if " " in tag:
-                out.append(Rule(label, 80, tag.split()[0].encode(), _compiled(f"(license|licence|licensed)? under? {tag} license?"), 0.85))
+            out.append(Rule(label, 90, ("spdx", "license"), _compiled(f"spdx license identifier {tag}"), 1.0))
+            if " " in tag and tag != "mit 0":
+                out.append(Rule(label, 80, _words(tag), _compiled(f"(license|licence|licensed)? under? {tag} license?"), 0.85))
     for part in ("by", "by sa", "by nd", "by nc", "by nc sa", "by nc nd"):
         label = "cc-" + part.replace(" ", "-")
         long = part.replace("by", "attribution").replace("sa", "share ?alike").replace("nd", "no ?derivatives").replace("nc", "non ?commercial")
@@ -146,29 +149,31 @@ def signature_rules() -> tuple[Rule, ...]:
             tail = (" " + v.replace(".", " ")) if v else ""
             name = label + (f"-{v}" if v else "")
             rank = 40 + 5 * len(part.split()) + (10 if v else 0)
-            out.append(Rule(name, rank, b"cc", _compiled(f"cc {part}{tail}"), 0.9))
-            out.append(Rule(name, rank + 1, b"creative commons", _compiled(f"creative commons {long.replace(' ?', '[^0-9a-z]*')}{tail}"), 0.95))
+            out.append(Rule(name, rank, _words("cc", part), _compiled(f"cc {part}{tail}"), 0.9))
+            out.append(Rule(name, rank + 1, ("creative", "commons"), _compiled(f"creative commons {long.replace(' ?', '[^0-9a-z]*')}{tail}"), 0.95))
             if v:
-                out.append(Rule(name, rank + 2, b"creativecommons", _compiled(f"creativecommons org licenses {part}{tail}"), 1.0))
-    out += [Rule(label, 75, keyword.encode(), _compiled(words), 0.9) for label, words, keyword in _ADDRESSES]
-    out += [Rule(label, priority, keyword.encode(), _compiled(words), weight) for label, words, keyword, priority, weight in _WHOLE]
+                out.append(Rule(name, rank + 2, ("creativecommons", "licenses"), _compiled(f"creativecommons org licenses {part}{tail}"), 1.0))
+    out += [Rule(label, 75, _words(keyword, words.split()[1]), _compiled(words), 0.9) for label, words, keyword in _ADDRESSES]
+    out += [Rule(label, priority, _words(keyword), _compiled(words), weight) for label, words, keyword, priority, weight in _WHOLE]
     return tuple(sorted(out, key=lambda r: (-r.priority, r.label, r.pattern.pattern)))
 
 
+def _words(*parts: str) -> tuple[str, ...]:
+    """The plain words of keywords that tell something, each once."""
+    return tuple(sorted({w for p in parts for w in p.split() if w.isalpha() and w not in _COMMON}))
+
+
 @cache
 def _gate():
-    """The automaton over the keywords' words, and the rules of each keyword."""
-    by: dict[bytes, list[int]] = {}
+    """The automaton over single keywords, and the rules (base phrases: None) by the keywords they need."""
+    by: dict[frozenset[str], list[int]] = {}
     for i, rule in enumerate(signature_rules()):
-        by.setdefault(rule.keyword, []).append(i)
+        by.setdefault(frozenset(rule.keywords), []).append(i)
     for phrase in BASE:
-        by.setdefault(phrase.split()[-1 if phrase != "cc by" else 0].encode(), [])
-    firsts: dict[str, list[bytes]] = {}
-    for k in by:
-        firsts.setdefault(k.split(b" ")[0].decode("latin-1"), []).append(k)
+        by.setdefault(frozenset(_words(phrase)), [])
     machine = ahocorasick.Automaton()
-    for first, ks in firsts.items():
-        machine.add_word(first, tuple(ks))
+    for word in {w for needs in by for w in needs}:
+        machine.add_word(word, (word, len(word)))
     machine.make_automaton()
     return machine, by
 
@@ -182,13 +187,15 @@ def scan_text(text: str | None) -> tuple[int, int, int | None, int | None, str,
     word = _WORD[np.frombuffer(raw, dtype=np.uint8)]
     starts = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]])) if len(raw) else np.zeros(0, dtype=np.int64)
     machine, by = _gate()
-    keys = {k for _, ks in machine.iter(raw.decode("latin-1")) for k in ks}
-    if not keys:
+    last = len(raw)
+    keys = {w for end, (w, n) in machine.iter(raw.decode("latin-1")) if not (end + 1 < last and word[end + 1]) and not (end >= n and word[end - n])}
+    wanted = [needs for needs in by if needs <= keys]
+    if not wanted:
         return len(starts), 0, None, None, "", "", 0.0, 0
     base = [(m.start(), label) for label, pattern in _BASE_RULES for m in pattern.finditer(raw)]
     rules = signature_rules()
     spans = []
-    for i in sorted({i for k in keys for i in by[k]}):
+    for i in sorted({i for needs in wanted for i in by[needs]}):
         rule = rules[i]
         for m in rule.pattern.finditer(raw):
             spans.append((-rule.priority, m.start() - m.end(), m.start(), m.end(), rule.label, rule.weight))
