@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import exact_dedup, license_scan, mixing, quality, toxicity, url_filter
+from tallyloom.llm import exact_dedup, license_scan, media, mixing, pieces, preference, quality, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,15 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.media_columns(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth", "colour_type")
+
+
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -42,6 +51,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def trained(mask: str):
+        return F.aggregate(mask, F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+
+    found = preference.preferences(_table(spark, sf_dir, "conversations"))
+    return found.select("chosen_id", "rejected_id", "status", F.col("n_prompt_turns").cast("bigint").alias("n_prompt_turns"),
+                        *[F.sha2(c, 256).alias(c.removesuffix("_text") + "_sha256") for c in ("prompt", "chosen_text", "rejected_text")],
+                        trained("chosen_mask").alias("chosen_trained"), trained("rejected_mask").alias("rejected_trained"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -49,10 +68,13 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_license_scan": op3_license_scan,
+    "op4_media": op4_media,
+    "op5_pieces": op5_pieces,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op9_url_filter": op9_url_filter,
+    "op10_preference": op10_preference,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -124,6 +146,34 @@ def _url_sql() -> str:
     FROM v JOIN m USING (host, {', '.join(keys)}) JOIN s USING (template)"""
 
 
+def _turns(turns: str, low: str, high: str) -> str:
+    part = f"list_slice({turns}, {low}, {high})"
+    return f"array_to_string(list_transform({part}, lambda t: '<|' || t.role || '|>' || chr(10) || replace(t.text, '<|', '< |') || chr(10)), '')"
+
+
+def _trained(turns: str, low: str) -> str:
+    part = f"list_filter(list_slice({turns}, {low}, len({turns})), lambda t: t.role = 'assistant')"
+    return f"coalesce(list_sum(list_transform({part}, lambda t: length(replace(t.text, '<|', '< |')))), 0)::BIGINT"
+
+
+_PREFERENCE = f"""
+    WITH t AS (SELECT DISTINCT conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+    c AS (SELECT conv_id, list({{'turn': turn, 'role': role, 'text': text}} ORDER BY turn, role, text) AS turns FROM t GROUP BY conv_id),
+    k AS (SELECT *, turns[1].role || chr(31) || turns[1].text AS key, ('0x' || substr(md5(coalesce(conv_id::VARCHAR, '')), 1, 15))::BIGINT AS h,
+                 coalesce(list_sum(list_transform(list_filter(turns, lambda t: t.role = 'assistant'), lambda t: length(t.text))), 0) AS pref FROM c),
+    r AS (SELECT *, (row_number() OVER (PARTITION BY key ORDER BY h, conv_id) - 1) // 2 AS pair FROM k),
+    s AS (SELECT *, row_number() OVER (PARTITION BY key, pair ORDER BY pref DESC, conv_id) AS side FROM r),
+    p AS (SELECT a.conv_id AS chosen_id, a.turns AS a, b.conv_id AS rejected_id, b.turns AS b, b.turns IS NULL AS single FROM s a
+          LEFT JOIN s b ON a.key = b.key AND a.pair = b.pair AND b.side = 2 WHERE a.side = 1),
+    n AS (SELECT *, list_max(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN a[i].role = 'assistant' THEN i ELSE 0 END)) AS last,
+                 list_position(list_transform(range(1, least(len(a), coalesce(len(b), 0)) + 1), lambda i: a[i].role = b[i].role AND a[i].text = b[i].text), false) AS miss FROM p),
+    m AS (SELECT *, (CASE WHEN single THEN CASE WHEN last > 0 THEN last - 1 ELSE len(a) END WHEN miss > 0 THEN miss - 1 ELSE least(len(a), len(b)) END)::BIGINT AS k FROM n)
+    SELECT chosen_id, rejected_id, CASE WHEN single THEN 'single' WHEN len(a) > k AND len(b) > k THEN 'pair' WHEN len(a) > k OR len(b) > k THEN 'cut' ELSE 'same' END AS status,
+           k AS n_prompt_turns, sha256({_turns('a', '1', 'k')}) AS prompt_sha256, sha256({_turns('a', 'k + 1', 'len(a)')}) AS chosen_sha256,
+           CASE WHEN NOT single THEN sha256({_turns('b', 'k + 1', 'len(b)')}) END AS rejected_sha256,
+           {_trained('a', 'k + 1')} AS chosen_trained, CASE WHEN NOT single THEN {_trained('b', 'k + 1')} END AS rejected_trained FROM m"""
+
+
 ORACLE_SQL = {
     "op1_mixing": _MIX,
     "op6_exact_dedup": f"""
@@ -132,4 +182,5 @@ ORACLE_SQL = {
                doc_id = max(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)""",
     "op9_url_filter": _url_sql(),
+    "op10_preference": _PREFERENCE,
 }
