@@ -12,11 +12,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Unicode White_Space, as the inside of a character class.
-WHITE_SPACE = r"\t\n\x0B\f\r \u0085   -     　"
+WHITE_SPACE = r"\t\n\x0B\f\r \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 _ASCII_CUT = r"[ \t\n\f\r,;]+"
 _UNICODE_CUT = f"[{WHITE_SPACE},;]+"
-_ASCII = r"^[\x00-\x7F]*$"
-_EDGES = f"^[{WHITE_SPACE}]+|[{WHITE_SPACE}]+$"
+_ASCII = r"\A[\x00-\x7F]*\z"
+_EDGES = rf"\A[{WHITE_SPACE}]+|[{WHITE_SPACE}]+\z"
 
 
 @dataclass(frozen=True)
