@@ -4,7 +4,7 @@ The index is a table bucketed and sorted by digest. A batch is reduced to its di
 sort-merge anti-join (the index side needs neither shuffle nor sort), and what is new is appended.
 
 Defined cases: a null text counts as empty; empty texts equal one another; repeated rows of one id are one document
-and share its decision; null ids never win over other ids; an empty batch gives no rows and leaves the index as it
+and share its decision, so do rows with a null id; null ids never win over other ids; an empty batch gives no rows and leaves the index as it
 was; extra columns are not read. Texts are hashed whole, whatever their length.
 """
 
