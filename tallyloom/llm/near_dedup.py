@@ -8,10 +8,12 @@ Jaccard similarity is first estimated from the registers, corrected for chance c
 standard deviations below the threshold, the full sets decide.
 
 Copies are one class from the start: sets of equal digest share a representative, and only it goes on. Members of a
-bucket are never paired with one another at once. In each round a bucket's most central member (that with most
-company in all its buckets) is held against the others, links are joined to components, and pairs within a component need
-no test any more. After ``ROUNDS`` rounds what is left in a bucket outside its largest component is held against the
-rest. So no link between different components is lost, and a group of near copies costs about a few tests a member.
+bucket are never paired with one another as rows. First a bucket's most central member (that with most company in all its
+buckets) is held against the others, links are joined to components, and pairs within a component need no test any more.
+Then, in buckets that are still of several components, all that is outside the largest one is held against the whole bucket,
+block by block of about ``BLOCK`` sets: a pair is tested in the first band that it shares, and no more once its components
+have met in the block. So no link between different components is lost, no task gets a whole bucket, and what leaves a
+block are links that join components, not pairs.
 
 Defined cases: null and empty texts, or texts without words, have no shingles, are linked with nothing and are kept;
 fewer than five words are one shingle; texts are read whole; rows of one id are one document; rows with a null id keep a null
@@ -36,7 +38,7 @@ PERCENT = 75
 BUCKET_BITS, MANTISSA_BITS = 8, 10
 REGISTERS = 1 << BUCKET_BITS
 BAND_ROWS, BANDS = 4, 40
-ROUNDS = 3
+BLOCK = 256
 _PIECE = 1 << 20  # bytes of text hashed at once
 
 _U = np.uint64
@@ -210,6 +212,13 @@ def _set_table(docs: DataFrame, wide: bool) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, n bigint, " + ("sketch binary, shingles binary" if wide else "digest binary, bands array<bigint>"))
 
 
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """The threshold on two full sets."""
+    joined = np.sort(np.concatenate([a, b]))
+    shared = int((joined[1:] == joined[:-1]).sum())
+    return 100 * shared >= PERCENT * (len(a) + len(b) - shared)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links: estimate first, then the full sets."""
 
@@ -223,9 +232,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 if estimate(ka, kb, na, nb) < PERCENT / 100 - _SLACK:
                     continue
                 sa, sb = (np.frombuffer(col[c][i].as_buffer(), dtype=np.uint64) for c in ("sa", "sb"))
-                joined = np.sort(np.concatenate([sa, sb]))
-                shared = int((joined[1:] == joined[:-1]).sum())
-                keep[i] = 100 * shared >= PERCENT * (na + nb - shared)
+                keep[i] = _linked(sa, sb)
             yield pa.RecordBatch.from_arrays([col["a"].filter(pa.array(keep)), col["b"].filter(pa.array(keep))], names=["a", "b"])
 
     left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"), F.col("shingles").alias("sa"))
@@ -242,44 +249,99 @@ def _pair(one: str, other: str) -> list[Column]:
 _SIZES = f"100 * least(n, n_other) >= {PERCENT} * greatest(n, n_other)"
 
 
-def _members(held: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """Bucket rows with their components of now, without buckets that are one component."""
-    if parts is None:
-        return held.withColumn("part", F.col("doc_id"))
-    named = held.join(parts.select(F.col("node").alias("doc_id"), F.col("component").alias("part")), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
-    split = named.groupBy("key").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).filter("_low <> _high").select("key")
-    return named.join(split, "key", "left_semi")
+def _still_apart(buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, doc_id, part, main, size, minors) of buckets of several components; main is the largest, minors what is outside it."""
+    named = buckets.join(parts.select(F.col("node").alias("doc_id"), F.col("component").alias("part")), "doc_id", "left")
+    named = written(named.select("key", "doc_id", F.coalesce("part", "doc_id").alias("part")), "near-members")
+    sizes = named.groupBy("key", "part").agg(F.count(F.lit(1)).alias("s"))
+    keys = sizes.groupBy("key").agg(F.max(F.struct("s", "part")).alias("m"), F.sum("s").alias("size"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    return named.join(keys.select("key", F.col("m.part").alias("main"), "size", (F.col("size") - F.col("m.s")).alias("minors")), "key")
+
+
+def _in_blocks(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links found in the blocks of buckets of several components."""
+    count = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    every = apart.select("key", "doc_id", "part", F.lit(False).alias("minor"), F.pmod(F.xxhash64("doc_id"), count("size")).cast("int").alias("x"),
+                         F.explode(F.sequence(F.lit(0), count("minors") - 1)).alias("y"))
+    minor = apart.filter("part <> main").select("key", "doc_id", "part", F.lit(True).alias("minor"), F.explode(F.sequence(F.lit(0), count("size") - 1)).alias("x"),
+                                                F.pmod(F.xxhash64("doc_id", F.lit(1)), count("minors")).cast("int").alias("y"))
+    rows = every.unionByName(minor).hint("merge").join(sets.select("doc_id", "shingles"), "doc_id")
+    rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").select("key", "x", "y", "doc_id", "part", "minor", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now = None
+        for batch in batches:
+            marks = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            ids, parts, minor = (batch.column(i).to_pylist() for i in (3, 4, 5))
+            found: list[tuple[int, int]] = []
+            for i, mark in enumerate(marks):
+                if mark != now:
+                    found += block_links(held, now[0]) if held else []
+                    held, now = [], mark
+                held.append((ids[i], parts[i], minor[i], np.frombuffer(batch.column(6)[i].as_py(), dtype=np.uint64)))
+            yield _link_batch(found)
+        yield _link_batch(block_links(held, now[0]) if held else [])
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
+def _link_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], names=["a", "b"])
+
+
+def block_links(rows: list[tuple], key: int) -> list[tuple[int, int]]:
+    """Links that join components within one block of a bucket; rows are (id, component, outside the main component, set).
+
+    Rows outside the main component are held against all other rows of the block.
+    """
+    registers = np.stack([sketch(r[3]) for r in rows])
+    keys = band_keys(registers)
+    band = np.argmax(keys == key, axis=1)
+    meet: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while meet.get(x, x) != x:
+            x = meet[x]
+        return x
+
+    sizes = np.array([len(r[3]) for r in rows])
+    whole = [i for i, r in enumerate(rows) if not r[2]]
+    out: list[tuple[int, int]] = []
+    for i in (i for i, r in enumerate(rows) if r[2]):
+        others = np.array([j for j in whole if rows[j][0] != rows[i][0]], dtype=np.int64)
+        if not len(others):
+            continue
+        n = sizes[others]
+        fits = 100 * np.minimum(n, sizes[i]) >= PERCENT * np.maximum(n, sizes[i])
+        fits &= np.argmax(keys[others] == keys[i], axis=1) == band[i]  # the first band that the pair shares
+        others = others[fits]
+        equal = (registers[others] == registers[i]).sum(axis=1)
+        for j in others[np.argsort(-equal, kind="stable")].tolist():
+            a, b = root(rows[i][1]), root(rows[j][1])
+            if a == b or estimate(registers[i], registers[j], sizes[i], sizes[j]) < PERCENT / 100 - _SLACK:
+                continue
+            if _linked(rows[i][3], rows[j][3]):
+                meet[max(a, b)] = min(a, b)
+                out.append((rows[i][0], rows[j][0]))
+    return out
 
 
 def near_links(docs: DataFrame, buckets: DataFrame) -> DataFrame:
     """(node, component) for representatives that have links. docs: (doc_id, text); buckets: (key, doc_id, n, size)."""
     reach = buckets.groupBy("doc_id").agg(F.sum("size").alias("reach"))
-    held = written(buckets.drop("size").join(reach, "doc_id"), "near-buckets")
+    held = written(buckets.join(reach, "doc_id"), "near-reach")
     sets = written(_set_table(docs.join(held.select("doc_id").distinct(), "doc_id", "left_semi"), wide=True), "near-sets")
-    tested = links = parts = None
-    for turn in range(ROUNDS + 1):
-        members = written(_members(held, parts), "near-members")
-        if members.isEmpty():
-            break
-        if turn < ROUNDS:  # the most central member of each bucket against the others
-            head = members.groupBy("key").agg(F.max(F.struct("reach", (-F.col("doc_id")).alias("low"), "part", F.col("n").alias("n_other"))).alias("h"))
-            head = head.select("key", (-F.col("h.low")).alias("other"), F.col("h.part").alias("part_other"), F.col("h.n_other").alias("n_other"))
-            joined = members.join(head, "key")
-            held = written(joined.filter("doc_id <> other").select("key", "doc_id", "n", "reach"), "near-buckets")
-        else:  # what is outside a bucket's largest component against all of the bucket
-            sizes = members.groupBy("key", "part").agg(F.count(F.lit(1)).alias("s"))
-            main = sizes.groupBy("key").agg(F.max(F.struct("s", "part")).alias("m")).select("key", F.col("m.part").alias("main"))
-            minor = members.join(main, "key").filter("part <> main").select("key", F.col("doc_id").alias("other"), F.col("part").alias("part_other"), F.col("n").alias("n_other"))
-            joined = members.join(minor, "key")
-        pairs = joined.filter(f"part <> part_other AND {_SIZES}").select(*_pair("doc_id", "other")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "near-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = written(_verified(pairs, sets), "near-found")
-        links = found if links is None else links.unionByName(found)
-        parts = written(connected_components(links, "a", "b"), "near-components")
-    return parts
+    head = held.groupBy("key").agg(F.max(F.struct("reach", (-F.col("doc_id")).alias("low"), F.col("n").alias("n_other"))).alias("h"))
+    head = head.select("key", (-F.col("h.low")).alias("other"), F.col("h.n_other").alias("n_other"))
+    pairs = held.join(head, "key").filter(f"doc_id <> other AND {_SIZES}").select(*_pair("doc_id", "other")).distinct()
+    links = written(_verified(written(pairs, "near-pairs"), sets), "near-links")
+    parts = written(connected_components(links, "a", "b"), "near-parts")
+    apart = written(_still_apart(buckets, parts), "near-apart")
+    if apart.isEmpty():
+        return parts
+    more = written(_in_blocks(apart, sets), "near-links")
+    return written(connected_components(links.unionByName(more), "a", "b"), "near-parts")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,10 +354,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     buckets = written(keyed.join(shared, "key"), "near-buckets")
     parts = near_links(docs, buckets)
-    if parts is not None:
-        classes = classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    else:
-        classes = classes.withColumn("component", F.lit(None).cast("bigint"))
+    classes = classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
     named = written(classes.select("digest", "copies", F.coalesce("component", "rep").alias("component_id")), "near-named")
     found = join_counted(table.select("doc_id", "n", "digest"), named, ["digest"], "copies", table.count())
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
