@@ -70,17 +70,17 @@ def share_out(family: DataFrame, parents: list[str], child: str) -> DataFrame:
 def leaf_budgets(leaves: DataFrame, levels: list[str], weights: list[dict[str, int]], share: tuple[int, int], max_epochs: int) -> DataFrame:
     """(levels..., leaf_tokens, alloc) from (levels..., leaf_tokens); ``share`` of all tokens is the budget, as a fraction."""
     leaves = leaves.withColumn("cap", (F.col("leaf_tokens") * F.lit(max_epochs)).cast("decimal(24,0)"))
-    total = leaves.agg((F.sum(F.col("leaf_tokens").cast("decimal(24,0)")) * F.lit(int(share[0]))).alias("_t"))
-    budget = total.select(F.expr(f"cast(_t div {int(share[1])} as decimal(24,0)) AS budget"))
     shared = None
     for depth, level in enumerate(levels):
         keys = levels[: depth + 1]
-        family = leaves.groupBy(*keys).agg(F.sum("cap").cast("decimal(24,0)").alias("cap")).withColumn("weight", _weight(level, weights[depth]))
+        family = leaves.groupBy(*keys).agg(F.sum("cap").cast("decimal(24,0)").alias("cap"), F.sum(F.col("leaf_tokens").cast("decimal(24,0)")).alias("_t"))
+        family = family.withColumn("weight", _weight(level, weights[depth]))
         if shared is None:
-            family = family.join(F.broadcast(budget))  # one row
+            whole = F.sum("_t").over(Window.partitionBy(F.lit(0))).cast("decimal(24,0)")  # over the branches of the root
+            family = family.withColumn("_t", whole).withColumn("budget", F.expr(f"cast(_t * {int(share[0])} div {int(share[1])} as decimal(24,0))"))
         else:
             family = family.join(shared.select(*keys[:-1], F.col("alloc").cast("decimal(24,0)").alias("budget")), keys[:-1])
-        shared = share_out(family, keys[:-1], level)
+        shared = share_out(family.drop("_t"), keys[:-1], level)
     return leaves.select(*levels, "leaf_tokens").join(shared.select(*levels, "alloc"), levels)
 
 
