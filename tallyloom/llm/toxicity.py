@@ -82,15 +82,18 @@ def _trained(samples: list[bytes], size: int) -> bytes:
 
 
 class Distance:
-    """Bytes that the toxic dictionary saves, window by window."""
+    """Bytes that the toxic dictionary saves, window by window.
+
+    Matches have five bytes or more, a space among them, so that the beginnings of ordinary words find nothing in it.
+    """
 
     def __init__(self, ordinary: bytes, toxic: bytes, window: int = WINDOW):
         self.window = window
-        self.pair = [self._compressor(d) for d in (ordinary, toxic + b" " + ordinary)]
+        self.pair = [self._compressor(d) for d in (ordinary, b" " + toxic + b" " + ordinary)]
 
     @staticmethod
     def _compressor(content: bytes):
-        params = zstandard.ZstdCompressionParameters.from_level(6, source_size=128, dict_size=len(content), write_content_size=False, write_checksum=False, write_dict_id=False)
+        params = zstandard.ZstdCompressionParameters.from_level(6, source_size=128, dict_size=len(content), write_content_size=False, write_checksum=False, write_dict_id=False, min_match=5)
         held = zstandard.ZstdCompressionDict(content or b"\0" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         held.precompute_compress(compression_params=params)
         return zstandard.ZstdCompressor(compression_params=params, dict_data=held)
