@@ -50,6 +50,7 @@ class DigestIndex:
         Within a batch the largest id stays. A digest that is in the index already keeps its id there.
         """
         groups = batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        groups = written(groups, "batch-groups")  # else the anti-join moves below the aggregation, to all rows of a group
         new = written(groups.join(self.entries().select("digest").hint("merge"), "digest", "left_anti"), "new-digests")
         self._save(new)
         return new
