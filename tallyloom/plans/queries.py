@@ -11,7 +11,7 @@ from tallyloom.operators import distinct, frequency, fuzzy, lookup, ngram, setop
 from tallyloom.operators.components import connected_components
 from tallyloom.operators.tokens import tokens
 from tallyloom.plans.sampling import workload
-from tallyloom.sources.tables import document_corpus, table_corpus
+from tallyloom.sources.tables import document_corpus, spread, table_corpus
 
 SHORT = Filters(drop_length_min=1, drop_length_max=3)
 
@@ -22,11 +22,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _docs(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    return document_corpus(docs.filter(where) if where else docs, order_col="doc_id")
+    return document_corpus(spread((docs.filter(where) if where else docs).select("doc_id", "text")), order_col="doc_id")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table_corpus(_read(spark, sf_dir, "documents"), order_col="doc_id")
+    return table_corpus(spread(_read(spark, sf_dir, "documents").select("doc_id", "text")), order_col="doc_id")
 
 
 def _bench(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,8 @@ def _bench(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source plays a file; its number is that in its name."""
     idx = F.expr("cast(regexp_extract(source, '([0-9]+)$', 1) AS bigint)")
-    return document_corpus(_read(spark, sf_dir, "documents"), order_col="doc_id", file_idx=idx)
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", idx.alias("file"))
+    return document_corpus(spread(docs), order_col="doc_id", file_idx=F.col("file"))
 
 
 def _ranked(ordered: DataFrame, first: str = "first") -> DataFrame:
@@ -129,12 +130,12 @@ def ngram_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _read(spark, sf_dir, "pages").select("page_id", html_text(F.col("html")).alias("text"))
+    pages = spread(_read(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", html_text(F.col("html")).alias("text"))
     return frequency.token_frequency(document_corpus(pages, order_col="page_id"))
 
 
 def word_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = tokens(document_corpus(_read(spark, sf_dir, "conversations"), order_col="conv_id")).distinct().withColumnRenamed("token", "word")
+    asked = tokens(document_corpus(spread(_read(spark, sf_dir, "conversations").select("conv_id", "text")), order_col="conv_id")).distinct().withColumnRenamed("token", "word")
     return lookup.check_words(asked, _bench(spark, sf_dir))
 
 

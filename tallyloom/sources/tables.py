@@ -13,6 +13,15 @@ from tallyloom.functions.tokens import lines_of
 ORDER = ["file_idx", "part", "line_no"]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if its scan has fewer partitions than there are cores, as one row group of a small table has.
+
+    Such an input is at most a partition for each core, so what is shuffled is small; larger inputs stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table_corpus(df: DataFrame, text_col: str = "text", order_col: str | Column | None = None, file_idx: int | Column = 0) -> DataFrame:
     """Each text is cut into lines; ``order_col`` (a whole number) orders the rows of a file. Null texts have no lines."""
     part = F.lit(0) if order_col is None else F.col(order_col) if isinstance(order_col, str) else order_col
