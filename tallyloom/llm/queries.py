@@ -12,9 +12,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: The tree of op1: domains are made up from the number in a source's name.
-DOMAIN = F.concat(F.lit("d"), F.coalesce((F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) AS int)") % 3).cast("string"), F.lit("x")))
-LEVELS = {"domain": DOMAIN, "lang": F.col("lang"), "source": F.col("source")}
+#: The tree of op1 as SQL expressions: domains are made up from the number in a source's name.
+LEVELS = {"domain": "concat('d', coalesce(cast(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS int) % 3 AS string), 'x'))", "lang": "lang", "source": "source"}
 WEIGHTS = [{"d0": 5, "d1": 3, "d2": 2}, {"en": 6, "fr": 2, "de": 1, "es": 1}, {}]
 SHARE, EPOCHS, SEED = (3, 5), 2, 17
 
@@ -22,7 +21,7 @@ URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", *[e.alias(n) for n, e in LEVELS.items()])
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", *[F.expr(e).alias(n) for n, e in LEVELS.items()])
     return mixing.mix(docs, list(LEVELS), WEIGHTS, SHARE, EPOCHS, SEED)
 
 
