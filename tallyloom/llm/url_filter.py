@@ -2,10 +2,14 @@
 
 Segments of digits or of long hexadecimal text become typed wildcards. Level by level, the branches of a node are
 compared by their labels: a branch whose labelled share of blocked pages does not differ from that of its siblings
-(chi-squared with one degree of freedom below ``similar``), or which has no labels, is merged into the node's ``*``
-branch; so are branches seen fewer than ``support`` times under a node with over ``children`` branches. A template is
-rejected if its smoothed share of blocked pages, (blocked + a) / (labelled + 2a), is over ``purity``. Templates without labels have the
-share one half and pass. Built-in functions only.
+(chi-squared with one degree of freedom below ``similar``), or which has no labels, is named ``*``; so are branches
+seen fewer than ``support`` times under a node with over ``children`` branches. A template is rejected if its smoothed
+share of blocked pages, (blocked + a) / (labelled + 2a), is over ``purity``. Templates without labels have the share one
+half and pass. Built-in functions only.
+
+A branch without labels is like its labelled siblings only if a node above it was told apart by its labels: it then
+inherits what holds there. Elsewhere nothing says that they are alike, and the pages of such branches are judged apart
+from labelled ones of the same template; having no labels, they pass.
 
 Urls are first reduced to distinct (host, segments) with counts, so the tree is built on that much smaller table and
 a host that holds a third of all pages is spread like any other.
@@ -54,8 +58,11 @@ def segments(path: Column) -> list[Column]:
 
 
 def template_tree(shapes: DataFrame, support: int = 5, children: int = 8, similar: float = 3.84) -> DataFrame:
-    """Adds ``template`` to rows (host, s0.., n, labelled, blocked), one for each shape."""
-    tree = shapes
+    """Adds ``template`` and ``apart`` to rows (host, s0.., n, labelled, blocked), one for each shape.
+
+    ``apart``: under a branch without labels, and no node above that branch was told apart by labels.
+    """
+    tree = shapes.withColumn("told", F.lit(False)).withColumn("apart", F.lit(False))
     for k in range(DEPTH):
         parent = ["host", *[f"g{i}" for i in range(k)]]
         branch = tree.groupBy(*parent, f"s{k}").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
@@ -68,7 +75,10 @@ def template_tree(shapes: DataFrame, support: int = 5, children: int = 8, simila
         differs = F.when(below > 0, d[0] * d[1] * d[1] / below >= F.lit(float(similar))).otherwise(F.lit(False))
         rare = (F.col("n") < support) & (F.col("_c") > children)
         name = F.when(differs & ~rare, F.col(f"s{k}")).otherwise(F.lit("*"))
-        tree = tree.join(joined.select(*parent, f"s{k}", name.alias(f"g{k}")), [*parent, f"s{k}"], "left").withColumn(f"g{k}", F.coalesce(f"g{k}", F.lit("")))
+        named = joined.select(*parent, f"s{k}", name.alias(f"g{k}"), (l == 0).alias("_bare"), (differs & ~rare).alias("_told"))
+        tree = tree.join(named, [*parent, f"s{k}"], "left").withColumn(f"g{k}", F.coalesce(f"g{k}", F.lit("")))
+        tree = tree.withColumn("apart", F.col("apart") | (F.coalesce("_bare", F.lit(False)) & ~F.col("told")))
+        tree = tree.withColumn("told", F.col("told") | F.coalesce("_told", F.lit(False))).drop("_bare", "_told")
     return tree.withColumn("template", F.concat(F.col("host"), *[F.when(F.col(f"g{k}") == "", "").otherwise(F.concat(F.lit("/"), F.col(f"g{k}"))) for k in range(DEPTH)]))
 
 
@@ -85,8 +95,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], purity: float = 0
     keys = ["host", *[f"s{k}" for k in range(DEPTH)]]
     shapes = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count("_label").alias("labelled"), F.coalesce(F.sum("_label"), F.lit(0)).alias("blocked"))
     tree = template_tree(written(shapes, "url-shapes"), support, children, similar)
-    sums = tree.groupBy("template").agg(F.sum("labelled").cast("double").alias("_l"), F.sum("blocked").cast("double").alias("_b"))
+    sums = tree.groupBy("template", "apart").agg(F.sum("labelled").cast("double").alias("_l"), F.sum("blocked").cast("double").alias("_b"))
     bad = (F.col("_b") + F.lit(smoothing)) / (F.col("_l") + F.lit(2 * smoothing)) > F.lit(purity)
-    judged = written(tree.select(*keys, "n", "template").join(sums.select("template", bad.alias("_bad")), "template"), "url-templates")
+    judged = written(tree.select(*keys, "n", "template", "apart").join(sums.select("template", "apart", bad.alias("_bad")), ["template", "apart"]).drop("apart"), "url-templates")
     out = join_counted(found, judged, keys, "n", found.count())
     return out.select("page_id", "host", "path", "rule", F.coalesce("_said", F.when(F.col("_bad"), "block").otherwise("allow")).alias("verdict"), "template")

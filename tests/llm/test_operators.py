@@ -237,6 +237,21 @@ def test_url_templates(spark):
     assert found["http://h/pills/1"][0].startswith("h/pills/") and found["http://h/deadbeef01/x"][0].startswith("h/*")
 
 
+def test_url_branches_without_labels_are_no_evidence(spark):
+    """One labelled branch, others without labels beside it; under a node told apart by labels a branch inherits."""
+    lone = [(f"http://lone/de/{i}.html", 1) for i in range(40)] + [(f"http://lone/{x}/{i}.html", None) for x in ("en", "fr", "es") for i in range(20)]
+    like = [(f"http://like/{x}/{i}.html", 1) for x in ("a", "b") for i in range(20)] + [(f"http://like/c/{i}.html", None) for i in range(20)]
+    told = [(f"http://told/blog/{i}", 0) for i in range(30)] + [(f"http://told/pills/{i}", 1) for i in range(30)] + [("http://told/pills/new", None)]
+    rows_ = lone + like + told
+    pages = spark.createDataFrame([(i, u, y) for i, (u, y) in enumerate(rows_)], "page_id bigint, url string, y int")
+    found = {rows_[r["page_id"]][0]: r["verdict"] for r in url_filter.judge_urls(pages, [], label=F.col("y")).collect()}
+    for u, y in lone + like:
+        assert found[u] == ("block" if y else "allow"), u
+    assert found["http://told/pills/new"] == "block" and found["http://told/blog/3"] == "allow"
+    by_rule = url_filter.judge_urls(pages.filter("url LIKE 'http://lone/%'"), [("block", "lone/de/")])
+    assert {tuple(r) for r in by_rule.select("rule", "verdict").distinct().collect()} == {("lone/de/", "block"), (None, "allow")}
+
+
 # license scan
 
 
