@@ -1,12 +1,15 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, and one on toxic text, that is, on the strings of toxic
-documents that ordinary ones lack. Every text is cut into windows of words; each window is compressed with the ordinary
-dictionary alone and with the toxic one in front of it. Bytes saved by the toxic dictionary are evidence, and a
+Two zstandard dictionaries are trained: one on ordinary text, and one on windows of toxic text, of which the words with
+strings that ordinary text lacks are left. Every text is cut into windows of words; each window is compressed with the
+ordinary dictionary alone and with the toxic one in front of it. Bytes saved by the toxic dictionary are evidence, and a
 logistic calibration, fitted on documents that trained no dictionary, turns a document's savings into a score.
 
-The strings of the toxic dictionary are word prefixes. A prefix counts once for each different word before it, so that a
-group of copies does not count its own words many times.
+Which words of a toxic window train is said by their strings of ``gram`` bytes, anywhere in a word, the space before and
+behind it included: one is in at least ``share`` of as many contexts as there are toxic texts (and in 3), and ``ratio``
+times as common there as in ordinary texts. A context is a different word before the string's word, so that a
+group of copies does not count its own words many times. ``toxic_size`` and ``ordinary_size`` are the dictionaries' bytes.
+Trained on whole toxic windows instead, zstandard fills the dictionary with what both kinds of text share.
 
 Defined cases: null and empty texts have no window and get the score of a document without savings; texts are read
 whole; without labels of both classes every score is the share of toxic labels (0 without any); repeated rows get equal
@@ -28,7 +31,6 @@ from pyspark.sql import functions as F
 from tallyloom.llm.training import fold, labelled_sample, logistic, sigmoid, words_of
 
 WINDOW = 12
-_PREFIX = 4
 
 
 @dataclass
@@ -39,44 +41,45 @@ class Model:
     prior: float
 
 
-def _contexts(texts: list[str], wanted: set[bytes] | None = None) -> Counter:
-    """Of each prefix, with how many different words before it it occurs."""
-    seen: set[tuple[bytes, bytes]] = set()
+def _contexts(texts: list[str], gram: int, wanted: Counter | None = None) -> Counter:
+    """Of each string of ``gram`` bytes, with how many different words before its word it occurs."""
+    after: dict[bytes, set[bytes]] = {}
     for text in texts:
         before = b""
         for word in words_of(text):
-            for end in range(_PREFIX, len(word) + 1):
-                if wanted is None or word[:end] in wanted:
-                    seen.add((word[:end], before))
+            after.setdefault(before, set()).add(word)
             before = word
-    return Counter(p for p, _ in seen)
+    found: Counter = Counter()
+    for words in after.values():
+        found.update({g for w in words for g in _grams(w, gram) if wanted is None or g in wanted})
+    return found
 
 
-def toxic_strings(toxic: list[str], ordinary: list[str], share: float = 0.02, ratio: float = 8.0) -> list[bytes]:
-    """Prefixes in at least ``share`` of as many contexts as there are toxic texts, ``ratio`` times as common there as elsewhere.
+def _grams(word: bytes, gram: int) -> set[bytes]:
+    spaced = b" " + word + b" "
+    return {spaced[i : i + gram] for i in range(len(spaced) - gram + 1)}
 
-    Of nested prefixes the longest with nearly all contexts of the shortest stands for them.
-    """
-    there = _contexts(toxic)
+
+def toxic_windows(toxic: list[str], ordinary: list[str], gram: int = 4, share: float = 0.005, ratio: float = 8.0, window: int = WINDOW) -> list[bytes]:
+    """The windows of toxic texts, of each the words with strings that ordinary texts lack; windows without any are left out."""
+    there = _contexts(toxic, gram)
     least = max(3, share * len(toxic))
-    there = Counter({p: n for p, n in there.items() if n >= least})
-    here = _contexts(ordinary, set(there))
-    kept = {p: n for p, n in there.items() if n / max(1, len(toxic)) >= ratio * (here[p] + 0.25) / max(1, len(ordinary))}
-    out: list[bytes] = []
-    for p in sorted(kept, key=lambda p: (len(p), p)):
-        root = next((p[:e] for e in range(_PREFIX, len(p)) if p[:e] in kept), None)
-        if root is None:
-            best = p
-            for q in sorted((q for q in kept if q.startswith(p)), key=lambda q: (len(q), q)):
-                if q.startswith(best) and kept[q] >= 0.8 * kept[p]:
-                    best = q
-            out.append(best)
-    return sorted(out, key=lambda p: (kept[p], p))[-1000:]
-
-
-def _trained(samples: list[bytes], size: int) -> bytes:
+    there = Counter({g: n for g, n in there.items() if n >= least})
+    here = _contexts(ordinary, gram, there)
+    marks = {g for g, n in there.items() if n / max(1, len(toxic)) >= ratio * (here[g] + 0.25) / max(1, len(ordinary))}
+    out = []
+    for text in toxic:
+        words = words_of(text)
+        for i in range(0, len(words), window):
+            kept = [w for w in words[i : i + window] if not marks.isdisjoint(_grams(w, gram))]
+            if kept:
+                out.append(b" " + b" ".join(kept) + b" ")
+    return out
+
+
+def _trained(samples: list[bytes], size: int, k: int = 32, d: int = 8) -> bytes:
     try:
-        return zstandard.train_dictionary(size, samples, k=32, d=8).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself serves
         return b" ".join(samples)[-size:]
 
@@ -113,7 +116,7 @@ class Distance:
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "toxic", per_class: int = 3000, max_bytes: int = 40_000_000,
-          ordinary_size: int = 16384, id_col: str = "doc_id", text_col: str = "text") -> Model:
+          ordinary_size: int = 16384, id_col: str = "doc_id", text_col: str = "text", toxic_size: int = 1024, gram: int = 4, share: float = 0.005, ratio: float = 8.0) -> Model:
     """Dictionaries from two thirds of the sample, calibration from the rest. ``usable`` may refer to the id as ``_id``."""
     texts, y, weights = labelled_sample(docs, labels, label_col, usable, per_class, max_bytes, id_col, text_col)
     prior = float((weights * y).sum() / weights.sum()) if len(y) else 0.0
@@ -126,11 +129,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
     toxic = [t for t, c, o in zip(texts, y, third, strict=True) if c == 1 and not o]
     plain = [t for t, c, o in zip(texts, y, third, strict=True) if c == 0 and not o]
     ordinary = _trained([b" ".join(words_of(t)) for t in plain], ordinary_size)
-    strings = toxic_strings(toxic, plain)
-    by = Distance(ordinary, b" ".join(strings))
+    marked = _trained(toxic_windows(toxic, plain, gram, share, ratio), toxic_size, k=16, d=6)  # words are short
+    by = Distance(ordinary, marked)
     rest = np.flatnonzero(third) if third.any() and len(set(y[third].tolist())) == 2 else np.arange(len(y))
     x = np.array([by.features(texts[i]) for i in rest])
-    return Model(ordinary, b" ".join(strings), logistic(x, y[rest], weights[rest]), prior)
+    return Model(ordinary, marked, logistic(x, y[rest], weights[rest]), prior)
 
 
 def score_texts(texts: list[str | None], model: Model, by: Distance | None = None) -> np.ndarray:

@@ -410,6 +410,24 @@ def test_toxicity(spark):
     assert kept.columns == docs.columns and np.mean([truth[r["doc_id"]][1] for r in kept.collect() if r["doc_id"] in truth]) < 0.05
 
 
+def test_toxic_dictionary_is_trained_by_zstandard(spark):
+    """Toxic strings inside words and of three letters count too, and zstandard makes the dictionary of them."""
+    rng = random.Random(8)
+    plain = ["".join(rng.choice(["tho", "re", "an", "ing", "es", "ti", "la"]) for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    texts = [[rng.choice(plain) for _ in range(80)] for _ in range(240)]
+    for words in texts[::3]:
+        for _ in range(6):
+            words[rng.randrange(80)] = rng.choice(["zog", rng.choice(plain) + "quib"])
+    docs = documents(spark, [(i, " ".join(w)) for i, w in enumerate(texts)])
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "doc_id bigint, toxic int")
+    model = toxicity.train(docs, labels, F.lit(True))
+    assert model.toxic[:4] == b"\x37\xa4\x30\xec" and b" zog " in model.toxic and b"quib " in model.toxic
+    clean = texts[1]
+    short, inside = ([bad if i % 13 == 6 else w for i, w in enumerate(clean)] for bad in ("zog", plain[7] + "quib"))
+    found = toxicity.score_texts([" ".join(t) for t in (short, clean, inside)], model)
+    assert found[0] > 0.5 and found[1] < 0.3 and found[2] > 0.5
+
+
 def test_quality(spark):
     docs, labels, truth = labelled(spark)
     found = {r["doc_id"]: r for r in quality.quality(docs, labels).collect()}
