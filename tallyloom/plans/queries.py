@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.markup import html_text
+from tallyloom.functions.spill import written
 from tallyloom.functions.tokens import Filters
 from tallyloom.operators import distinct, frequency, fuzzy, lookup, ngram, setops
 from tallyloom.operators.components import connected_components
@@ -151,6 +152,23 @@ def fuzzy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy.fuzzy_clusters(_names(spark, sf_dir), 3)
 
 
+def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct tokens of all documents; written, as the edit-distance plans read them more than once."""
+    return written(tokens(_docs(spark, sf_dir)).distinct(), "vocabulary")
+
+
+def fuzzy_pairs_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy.fuzzy_pairs(_vocabulary(spark, sf_dir), 2)
+
+
+def fuzzy_pairs_far_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy.fuzzy_pairs(_vocabulary(spark, sf_dir), 4)
+
+
+def fuzzy_clusters_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy.fuzzy_clusters(_vocabulary(spark, sf_dir), 3)
+
+
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_custkey") + F.col("o_orderkey") % 3).alias("dst"))
     return connected_components(edges)
@@ -165,6 +183,9 @@ QUERIES = {f.__name__: f for f in (
     dedupe_bucketed, dedupe_length_filtered, dedupe_stats, per_file_stats, set_diff, set_intersect, set_union, set_stats, ngram_bigrams, ngram_fivegrams,
     ngram_filtered, ngram_stats, html_text_tokens, word_check, fuzzy_pairs, fuzzy_pairs_far, fuzzy_clusters, components, sample_workload)}
 
+#: Over the tokens of whole corpora, where SQL would compare every token with every other: tests hold these against brute force.
+WITHOUT_SQL = {f.__name__: f for f in (fuzzy_pairs_documents, fuzzy_pairs_far_documents, fuzzy_clusters_documents)}
+
 _UNICODE = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
