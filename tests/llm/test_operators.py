@@ -252,6 +252,20 @@ def test_url_branches_without_labels_are_no_evidence(spark):
     assert {tuple(r) for r in by_rule.select("rule", "verdict").distinct().collect()} == {("lone/de/", "block"), (None, "allow")}
 
 
+def test_url_paths_of_any_depth(spark):
+    """What differs behind the third segment only; and one path of very many segments."""
+    bad = [(f"http://h/a/b/c/pills/{i}/x", 1) for i in range(30)] + [(f"http://h/a/b/c/pills/{i}/new", None) for i in range(5)]
+    good = [(f"http://h/a/b/c/blog/{i}/x", 0) for i in range(30)] + [(f"http://h/a/b/c/blog/{i}/new", None) for i in range(5)]
+    deep = "http://h/" + "/".join(["a", "b", "c", "blog", *["z"] * 300])
+    rows_ = bad + good + [(deep, None)]
+    pages = spark.createDataFrame([(i, u, y) for i, (u, y) in enumerate(rows_)], "page_id bigint, url string, y int")
+    found = {r["page_id"]: (r["verdict"], r["template"]) for r in url_filter.judge_urls(pages, [], label=F.col("y")).collect()}
+    assert len(found) == len(rows_)
+    for i in range(len(rows_)):
+        assert found[i][0] == ("block" if i < len(bad) else "allow"), rows_[i]
+    assert found[0][1].startswith("h/*/*/*/pills/") and found[len(rows_) - 1][1] == "h/*/*/*/blog" + "/*" * 300
+
+
 # license scan
 
 
