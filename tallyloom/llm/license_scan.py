@@ -132,11 +132,12 @@ def signature_rules() -> tuple[Rule, ...]:
     out = []
     for label, keyword, names, versions in _FAMILIES:
         for name in names:
+            needs = keyword if set(keyword.split()) <= set(name.split()) else name  # only words that the pattern requires
             for before, behind, priority, weight in _FORMS:
-                out.append(Rule(label, priority, _words(keyword, behind), _compiled(f"{before} {name} {behind}"), weight))
+                out.append(Rule(label, priority, _words(needs, behind), _compiled(f"{before} {name} {behind}"), weight))
                 for v in versions:
                     numbered = f"{before} {name} {behind} (version|v)? v?{v.replace('.', ' ')}"
-                    out.append(Rule(f"{label}-{v}", priority + 10, _words(keyword, behind), _compiled(numbered), weight))
+                    out.append(Rule(f"{label}-{v}", priority + 10, _words(needs, behind), _compiled(numbered), weight))
     for label, tags in _TAGS.items():
         for tag in tags:
             out.append(Rule(label, 90, ("spdx", "license"), _compiled(f"spdx license identifier {tag}"), 1.0))

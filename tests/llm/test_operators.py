@@ -308,6 +308,21 @@ def test_license_gate_drops_nothing():
     assert 200 < len(license_scan.signature_rules())
 
 
+def test_license_gate_drops_no_rule():
+    """One example of each name, form, tag, address and whole notice."""
+    ls = license_scan
+    made = [f"{before} {name} {behind}{v}" for _, _, names, versions in ls._FAMILIES for name in names for before, behind, *_ in ls._FORMS for v in ("", *[" version " + v for v in versions])]
+    made += [f"{before} {tag}" for tags in ls._TAGS.values() for tag in tags for before in ("spdx license identifier", "licensed under")]
+    made += [words for _, words, _ in ls._ADDRESSES] + [words for _, words, *_ in ls._WHOLE]
+    made = [re.sub(r"\(([^|)]*)\|[^)]*\)", r"\1", m).replace("f[a-z]*", "foo").replace("?", "").strip() for m in made]
+    made += [f"cc {part} 4.0" for part in ("by", "by sa", "by nd", "by nc", "by nc sa", "by nc nd")]
+    for text in made:
+        raw, words = text.encode().translate(ls._LOWER), set(re.findall(r"[a-z0-9]+", text))
+        hits = [r for r in ls.signature_rules() if r.pattern.search(raw)]
+        assert (hits or text.startswith("licensed under")) and all(set(r.keywords) <= words for r in hits), text
+    assert "mit" in ls.scan_text("Licensed under the Expat License")[5].split(",")
+
+
 # media
 
 
