@@ -1,24 +1,29 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, and one on windows of toxic text, of which the words with
-strings that ordinary text lacks are left. Every text is cut into windows of words; each window is compressed with the
-ordinary dictionary alone and with the toxic one in front of it. Bytes saved by the toxic dictionary are evidence, and a
-logistic calibration, fitted on documents that trained no dictionary, turns a document's savings into a score.
-
-Which words of a toxic window train is said by their strings of ``gram`` bytes, anywhere in a word, the space before and
-behind it included: one is in at least ``share`` of as many contexts as there are toxic texts (and in 3), and ``ratio``
-times as common there as in ordinary texts. A context is a different word before the string's word, so that a
-group of copies does not count its own words many times. ``toxic_size`` and ``ordinary_size`` are the dictionaries' bytes.
-Trained on whole toxic windows instead, zstandard fills the dictionary with what both kinds of text share.
-
-Defined cases: null and empty texts have no window and get the score of a document without savings; texts are read
-whole; without labels of both classes every score is the share of toxic labels (0 without any); repeated rows get equal
-scores; an empty table gives no rows; extra columns are not read. Training reads at most ``per_class`` documents a class and ``max_bytes`` of text.
+Two zstandard dictionaries of equal size are trained apart, one on ordinary and one on toxic text. A text is cut into windows
+of words; each is compressed under either dictionary, and the bytes that the toxic one saves over the ordinary one are the
+window's gain. A logistic calibration, fitted on documents that trained no dictionary, turns the spread of a document's
+gains around their median into a score.
+
+Most windows of a toxic text are ordinary, so the dictionaries are trained in rounds. Each class is halved; a pair of
+dictionaries trained on one half's windows is held against the other half's, and of both classes alike the same number
+of windows with the highest gains trains the next pair: toxic windows that look toxic, and ordinary windows that
+look toxic too, so that what both have in common is found in both dictionaries. The last pair is trained on the windows that
+the last two rounds kept. No word is picked or left out by any other rule.
+
+Whole texts are read, marks and digits too; only A-Z are lower-cased. Windows are compressed at zstandard's highest
+strategies, which parse optimally: faster ones miss most of the difference in texts this short.
+
+Defined cases: null and empty texts have no window and get the score of a document without gains; words of any length are cut into
+windows of ``LONGEST`` bytes; ties in gains go by the window's place in the sample; without labels of both classes, or with too
+little text for zstandard to train on, every score is the share of toxic labels (0 without any); repeated rows get equal scores; an
+empty table gives no rows; extra columns are not read. Training reads at most ``per_class`` documents a class and ``max_bytes`` of text,
+chosen by a hash of their ids, whatever the order in which rows arrive.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,9 +33,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.training import fold, labelled_sample, logistic, sigmoid, words_of
+from tallyloom.llm.training import fold, labelled_sample, logistic, sigmoid
 
-WINDOW = 12
+WINDOW, TRAINED_WINDOW = 6, 4  # words of a window that is compared, and of one that trains
+LONGEST = 512
+LEAST = 1000  # windows that a round hands on, if there are so many
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 @dataclass
@@ -41,83 +49,88 @@ class Model:
     prior: float
 
 
-def _contexts(texts: list[str], gram: int, wanted: Counter | None = None) -> Counter:
-    """Of each string of ``gram`` bytes, with how many different words before its word it occurs."""
-    after: dict[bytes, set[bytes]] = {}
-    for text in texts:
-        before = b""
-        for word in words_of(text):
-            after.setdefault(before, set()).add(word)
-            before = word
-    found: Counter = Counter()
-    for words in after.values():
-        found.update({g for w in words for g in _grams(w, gram) if wanted is None or g in wanted})
-    return found
-
-
-def _grams(word: bytes, gram: int) -> set[bytes]:
-    spaced = b" " + word + b" "
-    return {spaced[i : i + gram] for i in range(len(spaced) - gram + 1)}
-
-
-def toxic_windows(toxic: list[str], ordinary: list[str], gram: int = 4, share: float = 0.005, ratio: float = 8.0, window: int = WINDOW) -> list[bytes]:
-    """The windows of toxic texts, of each the words with strings that ordinary texts lack; windows without any are left out."""
-    there = _contexts(toxic, gram)
-    least = max(3, share * len(toxic))
-    there = Counter({g: n for g, n in there.items() if n >= least})
-    here = _contexts(ordinary, gram, there)
-    marks = {g for g, n in there.items() if n / max(1, len(toxic)) >= ratio * (here[g] + 0.25) / max(1, len(ordinary))}
-    out = []
-    for text in toxic:
-        words = words_of(text)
-        for i in range(0, len(words), window):
-            kept = [w for w in words[i : i + window] if not marks.isdisjoint(_grams(w, gram))]
-            if kept:
-                out.append(b" " + b" ".join(kept) + b" ")
-    return out
-
-
-def _trained(samples: list[bytes], size: int, k: int = 32, d: int = 8) -> bytes:
-    try:
-        return zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on: the text itself serves
-        return b" ".join(samples)[-size:]
+def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
+    """The text's words, ``size`` at a time, between spaces."""
+    words = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
+    made = [b" " + b" ".join(words[i : i + size]) + b" " for i in range(0, len(words), size)]
+    if any(len(x) > LONGEST for x in made):
+        made = [x[i : i + LONGEST] for x in made for i in range(0, len(x), LONGEST)]
+    return made
 
 
-class Distance:
-    """Bytes that the toxic dictionary saves, window by window.
+def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
+    """A compressor of short windows under a trained dictionary; what it writes has no size, checksum or dictionary id."""
+    log = max(17, (len(dictionary) - 1).bit_length() + 1)
+    params = zstandard.ZstdCompressionParameters(window_log=log, chain_log=log + 1, hash_log=log + 1, search_log=5, min_match=3, target_length=32,
+                                                 strategy=zstandard.STRATEGY_BTOPT, write_content_size=False, write_checksum=False, write_dict_id=False)
+    held = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_FULLDICT)
+    held.precompute_compress(compression_params=params)
+    return zstandard.ZstdCompressor(compression_params=params, dict_data=held)
 
-    Matches have five bytes or more, a space among them, so that the beginnings of ordinary words find nothing in it.
-    """
 
-    def __init__(self, ordinary: bytes, toxic: bytes, window: int = WINDOW):
-        self.window = window
-        self.pair = [self._compressor(d) for d in (ordinary, b" " + toxic + b" " + ordinary)]
+class Distance:
+    """Gains of windows: bytes under the ordinary dictionary less bytes under the toxic one."""
 
-    @staticmethod
-    def _compressor(content: bytes):
-        params = zstandard.ZstdCompressionParameters.from_level(6, source_size=128, dict_size=len(content), write_content_size=False, write_checksum=False, write_dict_id=False, min_match=5)
-        held = zstandard.ZstdCompressionDict(content or b"\0" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        held.precompute_compress(compression_params=params)
-        return zstandard.ZstdCompressor(compression_params=params, dict_data=held)
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        self.pair = compressor(ordinary), compressor(toxic)
 
-    def saved(self, text: str | None) -> np.ndarray:
-        words = words_of(text or "")
-        parts = [b" " + b" ".join(words[i : i + self.window]) + b" " for i in range(0, len(words), self.window)]
-        plain, toxic = (c.compress for c in self.pair)
-        return np.array([len(plain(x)) - len(toxic(x)) for x in parts], dtype=np.int64)
+    def gains(self, parts: list[bytes]) -> np.ndarray:
+        ordinary, toxic = (c.compress for c in self.pair)
+        return np.array([len(ordinary(x)) - len(toxic(x)) for x in parts], dtype=np.int64)
+
+    def many_gains(self, parts: list[bytes], threads: int) -> np.ndarray:
+        """The same on threads of zstandard's own, for training."""
+        if not parts:
+            return np.zeros(0, dtype=np.int64)
+        sizes = [np.array([len(x) for x in c.multi_compress_to_buffer(parts, threads=threads)], dtype=np.int64) for c in self.pair]
+        return sizes[0] - sizes[1]
 
     def features(self, text: str | None) -> np.ndarray:
-        d = np.sort(self.saved(text))[::-1]
-        if not len(d):
-            return np.zeros(7)
-        gain = np.clip(d, 0, 8)
-        return np.array([gain[0], gain[:3].sum() / 3, np.log1p((d >= 1).sum()), np.log1p((d >= 3).sum()), np.log1p(gain.sum() / (1 + len(d))), -0.1 * np.log1p(len(d)), float(d[0] >= 2)])
+        return spread_of(self.gains(windows(text)))
+
+
+def spread_of(gains: np.ndarray) -> np.ndarray:
+    """The mean and the median; how far the highest gains, and how many and which share of all, lie above the median; the number; how
+    far the sum lies from nothing, measured by the root of the number, for texts whose windows are all alike."""
+    n = len(gains)
+    if not n:
+        return np.zeros(10)
+    gains = np.clip(gains, -32, 32).astype(np.float64)
+    middle, mean = np.median(gains), gains.mean()
+    high = np.array([*np.quantile(gains, [0.9, 0.75]), np.sort(gains)[-3:].mean()]) - middle
+    four, six = ((gains - middle >= t).sum() for t in (4, 6))
+    return np.array([mean, middle, *high, np.log1p(four), np.log1p(six), np.sqrt(four / n), np.log1p(n), np.clip(mean * np.sqrt(n), -100, 100) / 4])
+
+
+def _trained(parts: list[bytes], size: int) -> bytes:
+    """A dictionary of ``size`` bytes, or of 3/5 of the text it is trained on if that is less.
+
+    zstandard goes over its samples in stretches and takes the best of each, so they come in a seeded order.
+    """
+    size = min(size, sum(map(len, parts)) * 3 // 5)
+    order = np.random.default_rng(1).permutation(len(parts))
+    return zstandard.train_dictionary(size, [parts[i] for i in order], k=24, d=6).as_bytes()
+
+
+def dictionaries(ordinary: list[str], toxic: list[str], size: int, keep: float, rounds: int) -> tuple[bytes, bytes]:
+    """The two dictionaries; ``keep`` is the share of toxic windows that a round hands on (``LEAST`` at least), and of ordinary ones the same number."""
+    halves = [[[x for t in texts[i::2] for x in windows(t, TRAINED_WINDOW)] for i in (0, 1)] for texts in (ordinary, toxic)]
+    now = before = [h[0] for h in halves]
+    for k in range(rounds):
+        by = Distance(*(_trained(x, size) for x in now))
+        other = [h[(k + 1) % 2] for h in halves]
+        many = max(LEAST, int(len(other[1]) * keep))
+        before, now = now, []
+        for parts in other:
+            gains = by.many_gains(parts, os.cpu_count() or 1)
+            now.append([parts[i] for i in np.argsort(-gains, kind="stable")[:many]])
+    ordinary_dictionary, toxic_dictionary = (_trained(a + b, size) for a, b in zip(now, before, strict=True))
+    return ordinary_dictionary, toxic_dictionary
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "toxic", per_class: int = 3000, max_bytes: int = 40_000_000,
-          ordinary_size: int = 16384, id_col: str = "doc_id", text_col: str = "text", toxic_size: int = 1024, gram: int = 4, share: float = 0.005, ratio: float = 8.0) -> Model:
-    """Dictionaries from two thirds of the sample, calibration from the rest. ``usable`` may refer to the id as ``_id``."""
+          id_col: str = "doc_id", text_col: str = "text", size: int = 262_144, keep: float = 0.2, rounds: int = 2) -> Model:
+    """Dictionaries of ``size`` bytes from two thirds of the sample, calibration from the rest. ``usable`` may refer to the id as ``_id``."""
     texts, y, weights = labelled_sample(docs, labels, label_col, usable, per_class, max_bytes, id_col, text_col)
     prior = float((weights * y).sum() / weights.sum()) if len(y) else 0.0
     if len(set(y.tolist())) < 2:
@@ -126,31 +139,35 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
     for c in (0, 1):
         own = np.flatnonzero(y == c)
         third[own[2::3]] = True
-    toxic = [t for t, c, o in zip(texts, y, third, strict=True) if c == 1 and not o]
-    plain = [t for t, c, o in zip(texts, y, third, strict=True) if c == 0 and not o]
-    ordinary = _trained([b" ".join(words_of(t)) for t in plain], ordinary_size)
-    marked = _trained(toxic_windows(toxic, plain, gram, share, ratio), toxic_size, k=16, d=6)  # words are short
-    by = Distance(ordinary, marked)
+    fit = [[t for t, c, o in zip(texts, y, third, strict=True) if c == k and not o] for k in (0, 1)]
+    try:
+        ordinary, toxic = dictionaries(*fit, size, keep, rounds)
+    except zstandard.ZstdError:  # too little text to train on
+        return Model(b"", b"", np.zeros(0), prior)
+    by = Distance(ordinary, toxic)
     rest = np.flatnonzero(third) if third.any() and len(set(y[third].tolist())) == 2 else np.arange(len(y))
     x = np.array([by.features(texts[i]) for i in rest])
-    return Model(ordinary, marked, logistic(x, y[rest], weights[rest]), prior)
+    return Model(ordinary, toxic, logistic(x, y[rest], weights[rest]), prior)
 
 
 def score_texts(texts: list[str | None], model: Model, by: Distance | None = None) -> np.ndarray:
+    """Scores in the order of the texts; equal texts are compressed once."""
     if not len(model.weights):
         return np.full(len(texts), model.prior)
     by = by or Distance(model.ordinary, model.toxic)
-    x = np.array([by.features(t) for t in texts]).reshape(len(texts), -1)
+    found = {t: by.features(t) for t in set(texts)}
+    x = np.array([found[t] for t in texts]).reshape(len(texts), -1)
     return sigmoid(x @ model.weights[:-1] + model.weights[-1])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) for each row."""
+    """(doc_id, score) for each row. The model is two dictionaries of a fixed size, whatever the corpus."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = Distance(model.ordinary, model.toxic) if len(model.weights) else None
+        by = Distance(held.value.ordinary, held.value.toxic) if len(held.value.weights) else None
         for b in batches:
-            found = score_texts(b.column(1).to_pylist(), model, by)
+            found = score_texts(b.column(1).to_pylist(), held.value, by)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -167,12 +184,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2,
 def drop_toxic(docs: DataFrame, labels: DataFrame, usable: Column, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **training) -> DataFrame:
     """``docs`` without rows that score ``threshold`` or more; columns as they were. One pass, nothing is shuffled."""
     model = train(docs, labels, usable, id_col=id_col, text_col=text_col, **training)
+    held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = Distance(model.ordinary, model.toxic) if len(model.weights) else None
+        by = Distance(held.value.ordinary, held.value.toxic) if len(held.value.weights) else None
         for b in batches:
-            found = score_texts(b.column(at).to_pylist(), model, by)
+            found = score_texts(b.column(at).to_pylist(), held.value, by)
             yield b.filter(pa.array(found < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
-
-
-def words_of(text: str) -> list[bytes]:
-    """Lower-cased runs of letters, as UTF-8."""
-    return _WORD.findall(text.lower().encode("utf-8", "replace"))
+from tallyloom.functions.spill import written
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -23,10 +16,11 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, per_class: int, max_bytes: int,
                     id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(texts, labels, weights): at most ``per_class`` documents of each class in the order of a hash of their ids, and no
-    more than ``max_bytes`` bytes of text in all. Weights restore the shares that the classes have among all usable labels.
+    """(texts, labels, weights): at most ``per_class`` documents of each class in the order of a hash of their ids, and of these, in
+    the same order, those that fit into ``max_bytes`` of UTF-8 in all. Weights restore the shares that the classes have among all usable labels.
 
-    Rows with a null id, a null text or a label other than 0 and 1 are not used; of repeated ids one row is.
+    Rows with a null id, a null text or a label other than 0 and 1 are not used; of repeated ids the smallest text and the
+    largest label are. So the sample depends on what the tables hold, not on the order in which rows arrive.
     """
     known = labels.select(F.col(id_col).cast("bigint").alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id IS NOT NULL AND _y IN (0, 1)")
     known = known.filter(usable).groupBy("_id").agg(F.max("_y").alias("_y"))
@@ -35,19 +29,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, usable:
     for y in (0, 1):
         part = known.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
         drawn = part if drawn is None else drawn.unionByName(part)
-    picked = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text")).filter("_text IS NOT NULL")
-    found: dict[int, tuple[int, str]] = {}
-    size = 0
-    for row in picked.join(F.broadcast(drawn), "_id").toLocalIterator():  # at most 2 * per_class ids
-        if row["_id"] not in found and size + len(row["_text"]) <= max_bytes:
-            found[row["_id"]] = (row["_y"], row["_text"])
-            size += len(row["_text"])
-    order = sorted(found)
-    y = np.array([found[i][0] for i in order], dtype=np.int64)
+    picked = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text")).filter("_text IS NOT NULL")
+    picked = picked.join(F.broadcast(drawn), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text"))  # at most 2 * per_class ids
+    picked = written(picked, "labelled-sample")
+    labels_of, size = {}, 0
+    for row in picked.select("_id", "_y", F.octet_length("_text").alias("n")).orderBy(F.xxhash64("_id"), "_id").collect():
+        if size + row["n"] <= max_bytes:
+            labels_of[row["_id"]] = row["_y"]
+            size += row["n"]
+    texts = {r["_id"]: r["_text"] for r in picked.toLocalIterator() if r["_id"] in labels_of}
+    order = sorted(texts)
+    y = np.array([labels_of[i] for i in order], dtype=np.int64)
     have = np.bincount(y, minlength=2)
     share = np.array([counts.get(c, 0) / max(1, have[c]) for c in (0, 1)])
     weights = share[y] / share[y].mean() if len(y) else np.zeros(0)
-    return [found[i][1] for i in order], y, weights
+    return [texts[i] for i in order], y, weights
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float = 1.0, rounds: int = 60) -> np.ndarray:
