@@ -46,6 +46,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def exact_dedup_two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of even id first, then all documents against the same index."""
+    docs = _table(spark, sf_dir, "documents")
+    index = exact_dedup.DigestIndex(spark)
+    exact_dedup.exact_duplicates(docs.filter("doc_id % 2 = 0"), index)
+    found = exact_dedup.exact_duplicates(docs, index)
+    index.drop()  # what is returned no longer reads it
+    return found
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -79,6 +89,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_url_filter": op9_url_filter,
     "op10_preference": op10_preference,
+    "exact_dedup_two_batches": exact_dedup_two_batches,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -185,6 +196,11 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+    "exact_dedup_two_batches": f"""
+        WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents),
+        g AS (SELECT text_sha256, max(doc_id) FILTER (doc_id % 2 = 0) AS early, max(doc_id) AS late, count(*) FILTER (doc_id % 2 = 0) AS m, count(*) AS n FROM d GROUP BY text_sha256)
+        SELECT doc_id, coalesce(early, late) AS keep_id, CASE WHEN early IS NULL THEN n ELSE m END AS group_size, doc_id = coalesce(early, late) AS kept, text_sha256
+        FROM d JOIN g USING (text_sha256)""",
     "op9_url_filter": _url_sql(),
     "op10_preference": _PREFERENCE,
 }

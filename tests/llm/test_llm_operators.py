@@ -59,6 +59,59 @@ def test_index_keeps_earlier_batches(spark):
     assert index.entries().count() == 3 and exact_dedup.DigestIndex(spark, index.table).entries().count() == 3
 
 
+def decisions(df):
+    return {(r["doc_id"], r["text_sha256"]): (r["keep_id"], r["group_size"], r["kept"]) for r in df.collect()}
+
+
+def test_a_batch_run_again_decides_alike(spark):
+    batch = documents(spark, [(1, "a"), (2, "A"), (3, "b"), (None, "c")])
+    index = exact_dedup.DigestIndex(spark)
+    first = decisions(exact_dedup.exact_duplicates(batch, index))
+    assert decisions(exact_dedup.exact_duplicates(batch, index)) == first and index.entries().count() == 3
+    assert sorted(r["doc_id"] or 0 for r in exact_dedup.drop_exact_duplicates(batch, index).collect()) == [0, 2, 3]
+    groups = exact_dedup.digests(batch).groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    torn = exact_dedup.DigestIndex(spark)
+    torn.add(groups)  # a run that died behind its append
+    assert decisions(exact_dedup.exact_duplicates(batch, torn)) == first
+    index.drop(), torn.drop()
+
+
+def test_index_is_reopened_under_other_settings(spark):
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    exact_dedup.exact_duplicates(documents(spark, [(1, "a"), (2, "b")]), index)
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        again = exact_dedup.DigestIndex(spark, index.table)
+        found = decisions(exact_dedup.exact_duplicates(documents(spark, [(3, "A"), (4, "c")]), again))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert again.buckets == 4 and sorted(v for v in found.values()) == [(1, 1, False), (4, 1, True)]
+    index.drop()
+
+
+def test_index_side_is_neither_shuffled_nor_sorted(spark):
+    """Small sides are not broadcast here, as large ones wouldn't be."""
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for k in range(3):
+            exact_dedup.exact_duplicates(documents(spark, [(10 * k + i, f"t{k * 5 + i}") for i in range(8)]), index)
+        many = index.entries().count()
+        index.compact()
+        assert index.entries().count() == many == 18 and len(index.entries().inputFiles()) <= 4
+        groups = exact_dedup.written(spark.createDataFrame([(b"x", 1, 1)], exact_dedup._ENTRIES), "test-groups")
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+        plan = index.missing(groups)._jdf.queryExecution().executedPlan().toString()
+        index_side = plan[plan.rindex("\n   +- "):]  # the second child of the join
+        assert "SortMergeJoin" in plan and "Bucketed: true" in index_side and "Exchange" not in index_side and "Sort" not in index_side, plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+        spark.conf.unset("spark.sql.legacy.bucketedTableScan.outputOrdering")
+    index.drop()
+
+
 def test_hot_groups_are_joined_apart(spark):
     texts = [(i, "same") for i in range(300)] + [(1000 + i, f"t{i}") for i in range(300)]
     found = exact_dedup.exact_duplicates(documents(spark, texts)).collect()
