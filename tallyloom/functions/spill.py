@@ -1,11 +1,15 @@
 """Tables that an operator writes on the way: lineage ends there, so a lost executor costs a re-read only.
 
-They lie under ``spark.checkpoint.dir``, the folder that all machines of a cluster share. Only where that
-setting is absent (tests, a laptop) is a folder of this process taken instead.
+They lie under ``spark.checkpoint.dir``, the folder that all machines of a cluster share; a path without a scheme is one of
+Hadoop's default file system, as for Spark itself. Only where that setting is absent and the master is local (tests, a
+laptop) is a folder of this process taken instead; on a cluster its absence is an error. The tables of a process are deleted
+when it ends, unless ``forget`` has done so before.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,6 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
+_RUN = uuid.uuid4().hex  # one folder for all tables of a process
+_used: set[str] = set()
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, on the default file system if it names none."""
+    held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(held).toUri().toString()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,18 +34,39 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             found = held.get()
-        else:
+        elif spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
             found = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
-            spark.sparkContext.setCheckpointDir(found)
+            atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
             spark.conf.set(_SETTING, found)
-    if "://" not in found and not found.startswith("file:"):
-        found = "file://" + found if found.startswith("/") else found
-    return found.rstrip("/")
+        else:
+            raise ValueError(f"{_SETTING} has to name a folder that all machines share")
+    found = _qualified(spark, found)
+    return (found.replace("file:/", "file:///", 1) if found.startswith("file:/") and not found.startswith("file:///") else found).rstrip("/")
+
+
+def _run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tallyloom/{_RUN}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path of its own for one table of one call."""
-    return f"{shared_dir(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
+    base = _run_dir(spark)
+    if base not in _used:
+        _used.add(base)
+        _delete_at_exit(spark, base)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    """A hook of the JVM: it runs however the process ends, and on whatever file system the folder is."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete all tables that this process has written so far; results that have not been computed yet can't be any more."""
+    remove(spark, _run_dir(spark))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
