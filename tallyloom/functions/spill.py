@@ -9,10 +9,12 @@ when it ends, unless ``forget`` has done so before.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,10 +60,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def _delete_at_exit(spark: SparkSession, path: str) -> None:
-    """A hook of the JVM: it runs however the process ends, and on whatever file system the folder is."""
+    """The gateway still answers then, on whatever file system the folder is; after a kill the folder stays."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def delete() -> None:
+        with contextlib.suppress(Py4JError, OSError):  # the JVM has gone first
+            store.delete(target, True)
+
+    atexit.register(delete)
 
 
 def forget(spark: SparkSession) -> None:
