@@ -6,6 +6,8 @@ at Unicode white space, comma and semicolon. So a vertical tab parts tokens only
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -13,9 +15,10 @@ from pyspark.sql import functions as F
 
 #: Unicode White_Space, as the inside of a character class.
 WHITE_SPACE = r"\t\n\x0B\f\r \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+#: The same without what every line is split at: only these make lines differ from one another.
+_ODD = [chr(c) for c in (0x0B, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 _ASCII_CUT = r"[ \t\n\f\r,;]+"
 _UNICODE_CUT = f"[{WHITE_SPACE},;]+"
-_ASCII = r"\A[\x00-\x7F]*\z"
 _EDGES = rf"\A[{WHITE_SPACE}]+|[{WHITE_SPACE}]+\z"
 
 
@@ -41,10 +44,24 @@ def lines_of(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"\n\z", ""), "\n")
 
 
+def has_odd_space(text: Column) -> Column:
+    """Whether there is any white space at which only some lines are split. Searches for strings are much cheaper than a pattern."""
+    return functools.reduce(lambda x, y: x | y, [text.contains(c) for c in _ODD])
+
+
 def raw_tokens(line: Column) -> Column:
     """All tokens of a line in order, before any filter. None is empty. Null gives null."""
-    parts = F.when(line.rlike(_ASCII), F.split(line, _ASCII_CUT)).otherwise(F.split(line, _UNICODE_CUT))
-    return F.filter(parts, lambda t: t != "")
+    ascii_only = F.length(line) == F.octet_length(line)
+    parts = F.when(has_odd_space(line) & ~ascii_only, F.split(line, _UNICODE_CUT)).otherwise(F.split(line, _ASCII_CUT))
+    return F.array_remove(parts, "")
+
+
+def text_tokens(text: Column, of_line: Callable[[Column], Column]) -> Column:
+    """The tokens of all lines of a text one after another; ``of_line`` says what those of a line are, which keeps plain tokens as they are.
+
+    A text without odd white space is split in one go, as line ends part tokens too.
+    """
+    return F.when(has_odd_space(text), F.flatten(F.transform(lines_of(text), of_line))).otherwise(F.array_remove(F.split(text, _ASCII_CUT), ""))
 
 
 def trimmed(token: Column) -> Column:

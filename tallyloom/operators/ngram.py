@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.tokens import Filters, cleaned, raw_tokens, too_short_or_long
-from tallyloom.operators.distinct import ALPHABETICAL, PRESERVE
-from tallyloom.operators.tokens import tokens
+from tallyloom.operators.distinct import ALPHABETICAL, PRESERVE, first_places, row_key
+from tallyloom.operators.tokens import per_line, token_arrays
 from tallyloom.sources.tables import ORDER
 
 
@@ -45,18 +45,24 @@ def _check(n: int) -> None:
         raise ValueError("n must be from 2 to 20")
 
 
-def ngrams(corpus: DataFrame, n: int, filters: Filters = Filters()) -> DataFrame:
-    """(file_idx, part, line_no, pos, ngram): one row for each n-gram. ``corpus`` has single lines."""
+def _arrays(corpus: DataFrame, n: int, filters: Filters) -> DataFrame:
+    """(file_idx, part, line_no, grams): all n-grams of each corpus row, in order."""
     _check(n)
-    return corpus.select(*ORDER, F.posexplode(line_ngrams(F.col("line"), n, filters)).alias("pos", "ngram"))
+    return corpus.select(*ORDER, per_line(corpus, lambda line: line_ngrams(line, n, filters)).alias("grams"))
+
+
+def ngrams(corpus: DataFrame, n: int, filters: Filters = Filters()) -> DataFrame:
+    """(file_idx, part, line_no, pos, ngram): one row for each n-gram."""
+    return _arrays(corpus, n, filters).select(*ORDER, F.posexplode("grams").alias("pos", "ngram"))
 
 
 def distinct_ngrams(corpus: DataFrame, n: int, filters: Filters = Filters(), ordering: str = PRESERVE) -> DataFrame:
-    """(ngram): distinct n-grams in the order of first occurrence, in UTF-8 byte order, or in none."""
-    rows = ngrams(corpus, n, filters)
+    """(ngram): distinct n-grams in the order of first occurrence, in UTF-8 byte order, or in none. Repeats within a row go first."""
+    rows = _arrays(corpus, n, filters)
     if ordering == PRESERVE:
-        return rows.groupBy("ngram").agg(F.min(F.struct(*ORDER, "pos")).alias("first")).orderBy("first").select("ngram")
-    out = rows.select("ngram").distinct()
+        placed = rows.select(row_key().alias("row"), F.posexplode(F.array_distinct("grams")).alias("pos", "ngram"))
+        return first_places(placed, "ngram").orderBy("first").select("ngram")
+    out = rows.select(F.explode(F.array_distinct("grams")).alias("ngram")).distinct()
     return out.orderBy("ngram") if ordering == ALPHABETICAL else out
 
 
@@ -64,5 +70,5 @@ def ngram_stats(corpus: DataFrame, n: int, filters: Filters = Filters()) -> Data
     """One row (tokens_seen, ngrams_seen, unique_ngrams); tokens count after filters."""
     counted = ngrams(corpus, n, filters).groupBy("ngram").agg(F.count(F.lit(1)).alias("_n"))
     grams = counted.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("ngrams_seen"), F.count(F.lit(1)).alias("unique_ngrams"))
-    seen = tokens(corpus, filters).agg(F.count(F.lit(1)).alias("tokens_seen"))
+    seen = token_arrays(corpus, filters).agg(F.coalesce(F.sum(F.greatest(F.size("tokens"), F.lit(0))), F.lit(0)).alias("tokens_seen"))
     return seen.join(F.broadcast(grams))  # one row each

@@ -27,6 +27,7 @@ def _docs(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFra
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each line: n-grams end there, and short arrays are built faster than those of whole texts."""
     return table_corpus(spread(_read(spark, sf_dir, "documents").select("doc_id", "text")), order_col="doc_id")
 
 
@@ -43,7 +44,7 @@ def _by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ranked(ordered: DataFrame, first: str = "first") -> DataFrame:
     """A first-seen table with the place of the first occurrence spelled out, so that order shows in unordered rows."""
-    return ordered.select("token", F.col(f"{first}.part").alias("part"))
+    return ordered.select("token", distinct.part_of(F.col(first)).alias("part"))
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:

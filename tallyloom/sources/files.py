@@ -182,10 +182,10 @@ def sample_files(spark: SparkSession, paths: list[str], filters: Filters) -> Sam
         with store.open_input_stream(name) as f:
             head = f.read(min(_SAMPLE_BYTES, _SAMPLE_TOTAL - total))
         total += len(head)
-        rows.append((i, 0, 0, head.decode("utf-8", "replace").removeprefix("\ufeff").split("\n")))
+        rows.append((i, 0, 0, head.decode("utf-8", "replace").removeprefix("\ufeff")))
     if not rows:
         return Sample()
-    df = spark.createDataFrame(rows, "file_idx bigint, part bigint, line_no bigint, lines array<string>")
+    df = spark.createDataFrame(rows, "file_idx bigint, part bigint, line_no bigint, text string")
     found = token_arrays(df, filters).select(F.explode("tokens").alias("t")).agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("t").alias("u"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).collect()[0]
     n, u = found["n"], found["u"]

@@ -31,7 +31,7 @@ def table_corpus(df: DataFrame, text_col: str = "text", order_col: str | Column
 
 
 def document_corpus(df: DataFrame, text_col: str = "text", order_col: str | Column | None = None, file_idx: int | Column = 0) -> DataFrame:
-    """Like ``table_corpus`` with one row for each text and its lines as an array ``lines``: nothing is multiplied."""
+    """Like ``table_corpus`` with one row for each text, whole in ``text``: nothing is multiplied, and most texts are split in one go."""
     part = F.lit(0) if order_col is None else F.col(order_col) if isinstance(order_col, str) else order_col
     file = file_idx if isinstance(file_idx, Column) else F.lit(file_idx)
-    return df.select(file.cast("bigint").alias("file_idx"), part.cast("bigint").alias("part"), F.lit(0).cast("bigint").alias("line_no"), lines_of(F.col(text_col)).alias("lines"))
+    return df.select(file.cast("bigint").alias("file_idx"), part.cast("bigint").alias("part"), F.lit(0).cast("bigint").alias("line_no"), F.col(text_col).alias("text"))
