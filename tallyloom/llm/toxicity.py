@@ -61,7 +61,7 @@ def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
 def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     """A compressor of short windows under a trained dictionary; what it writes has no size, checksum or dictionary id."""
     log = max(17, (len(dictionary) - 1).bit_length() + 1)
-    params = zstandard.ZstdCompressionParameters(window_log=log, chain_log=log + 1, hash_log=log + 1, search_log=5, min_match=3, target_length=32,
+    params = zstandard.ZstdCompressionParameters(window_log=log, chain_log=log, hash_log=log, search_log=4, min_match=4, target_length=16,
                                                  strategy=zstandard.STRATEGY_BTOPT, write_content_size=False, write_checksum=False, write_dict_id=False)
     held = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_FULLDICT)
     held.precompute_compress(compression_params=params)
