@@ -5,7 +5,7 @@ the rest a bucket keeps the smallest, as a register of 6 bits for its leading ze
 borrow from full ones in an order fixed for all documents, so small sets fill their sketches too. Bands of four
 registers are keys; 40 bands find a pair at the threshold of 0.75 with probability 1 - 3e-7. Of a pair of candidates the
 Jaccard similarity is first estimated from the registers, corrected for chance collisions; where the estimate isn't six
-standard deviations below the threshold, the full sets decide.
+standard deviations below the threshold, the full sets decide, and so they do wherever a set is too small to fill the buckets.
 
 Copies are one class from the start: sets of equal digest share a representative, and only it goes on. Members of a
 bucket are never paired with one another as rows. First a bucket's most central member (that with most company in all its
@@ -179,8 +179,15 @@ def estimate(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> float:
     return max(0.0, (float((a == b).sum()) - chance) / (REGISTERS - chance))
 
 
-#: Six standard deviations of the estimate at the threshold.
+#: Six standard deviations of the estimate at the threshold, for sets that fill the buckets on their own.
 _SLACK = 6 * (PERCENT / 100 * (1 - PERCENT / 100) / REGISTERS) ** 0.5
+#: Smaller sets than this leave buckets empty (one in e^8 at this size), and one shingle then decides about several registers.
+_FILLED = 8 * REGISTERS
+
+
+def ruled_out(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> bool:
+    """Whether the registers alone say that a pair is no link. Of pairs with a set that borrows registers they never do."""
+    return min(na, nb) >= _FILLED and estimate(a, b, na, nb) < PERCENT / 100 - _SLACK
 
 
 def _set_table(docs: DataFrame, wide: bool) -> DataFrame:
@@ -229,7 +236,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for i in range(b.num_rows):
                 na, nb = col["na"][i].as_py(), col["nb"][i].as_py()
                 ka, kb = (np.frombuffer(col[c][i].as_buffer(), dtype=np.uint16) for c in ("ka", "kb"))
-                if estimate(ka, kb, na, nb) < PERCENT / 100 - _SLACK:
+                if ruled_out(ka, kb, na, nb):
                     continue
                 sa, sb = (np.frombuffer(col[c][i].as_buffer(), dtype=np.uint64) for c in ("sa", "sb"))
                 keep[i] = _linked(sa, sb)
@@ -319,7 +326,7 @@ def block_links(rows: list[tuple], key: int) -> list[tuple[int, int]]:
         equal = (registers[others] == registers[i]).sum(axis=1)
         for j in others[np.argsort(-equal, kind="stable")].tolist():
             a, b = root(rows[i][1]), root(rows[j][1])
-            if a == b or estimate(registers[i], registers[j], sizes[i], sizes[j]) < PERCENT / 100 - _SLACK:
+            if a == b or ruled_out(registers[i], registers[j], sizes[i], sizes[j]):
                 continue
             if _linked(rows[i][3], rows[j][3]):
                 meet[max(a, b)] = min(a, b)
