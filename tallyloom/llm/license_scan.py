@@ -1,14 +1,15 @@
 """License scan: ordered signature rules over whole texts.
 
 Hundreds of regular expressions, each with a label, a priority and keywords. One Aho-Corasick pass over a text tells
-which keywords stand in it as words; only rules with all their keywords there run. Detections are intervals of words. A detection goes if it lies within that of
+which keywords stand in it as words; only rules with all their keywords there run. Detections are intervals of bytes. A detection goes if it lies within that of
 a rule of higher priority, or within a longer one of the same priority; the labels of the rest are the text's labels.
 
 The rules are written as families (names, versions) times forms (notice, SPDX tag, address); ``signature_rules`` spells
 them out. Besides, the base phrases are counted at all places, and their labels always stay.
 
 Defined cases: a null text counts as empty and has no words, labels '' and score 0; repeated rows get equal results; an
-empty table gives no rows; extra columns are not read; texts are scanned whole. Equal intervals of one label count once.
+empty table gives no rows; extra columns are not read; texts are scanned whole. Equal intervals of one label count once; of equal
+intervals and priorities the first label in text order stays.
 """
 
 from __future__ import annotations
@@ -160,8 +161,8 @@ def signature_rules() -> tuple[Rule, ...]:
 
 
 def _words(*parts: str) -> tuple[str, ...]:
-    """The plain words of keywords that tell something, each once."""
-    return tuple(sorted({w for p in parts for w in p.split() if w.isalpha() and w not in _COMMON}))
+    """The plain words of keywords that tell something, each once; numbers alone don't."""
+    return tuple(sorted({w for p in parts for w in p.split() if w.isalnum() and not w.isdigit() and w not in _COMMON}))
 
 
 @cache
@@ -200,10 +201,7 @@ def scan_text(text: str | None) -> tuple[int, int, int | None, int | None, str,
         rule = rules[i]
         for m in rule.pattern.finditer(raw):
             spans.append((-rule.priority, m.start() - m.end(), m.start(), m.end(), rule.label, rule.weight))
-    kept: list[tuple] = []
-    for s in sorted(set(spans)):
-        if not any(k[2] <= s[2] and s[3] <= k[3] for k in kept):
-            kept.append(s)
+    kept = uncontained(sorted(set(spans)))
     at = np.searchsorted(starts, [p for p, _ in base])
     base_labels = sorted({label for _, label in base})
     labels = sorted({k[4] for k in kept} | set(base_labels))
@@ -212,6 +210,27 @@ def scan_text(text: str | None) -> tuple[int, int, int | None, int | None, str,
             ",".join(base_labels), ",".join(labels), round(score, 9), len(kept))
 
 
+def uncontained(spans: list[tuple]) -> list[tuple]:
+    """Of spans (rank, -length, start, end, ...) in ascending order those that lie within no earlier one that stays.
+
+    What a span that doesn't stay contains lies within a span that does, so each is held against all earlier ones at once: ``far`` has
+    the furthest end among those that start at or before a place, as a tree of prefix maxima, in steps of the logarithm.
+    """
+    places = {p: i for i, p in enumerate(sorted({s[2] for s in spans}), 1)}
+    far = [-1] * (len(places) + 1)
+    kept = []
+    for s in spans:
+        i, reach = places[s[2]], -1
+        while i:
+            reach, i = max(reach, far[i]), i & (i - 1)
+        if reach < s[3]:
+            kept.append(s)
+            i = places[s[2]]
+            while i < len(far):
+                far[i], i = max(far[i], s[3]), i + (i & -i)
+    return kept
+
+
 _OUT = pa.schema([("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()),
                   ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("n_found", pa.int64())])
 
