@@ -12,7 +12,7 @@ prefix is found without sorting a leaf: sums over 4096 ranges of the order, over
 the cut, and a window over the documents of that last range alone. Built-in functions only.
 
 Defined cases: a null level is the branch '' ; branches without a weight in the given mapping weigh 1; weight 0 or
-less is never drawn; null and empty texts have no tokens and come with whole epochs only or where they cost nothing;
+less is never drawn; a weight that isn't whole is refused; null and empty texts have no tokens and come with whole epochs only or where they cost nothing;
 an empty table gives no rows; repeated rows of one id are drawn together; ties in the order go by id. Extra columns
 are not read.
 """
@@ -43,6 +43,8 @@ def seeded_order(seed: int, epoch: Column, doc_id: Column) -> Column:
 def _weight(column: str, weights: dict[str, int]) -> Column:
     found = F.lit(1)
     for name, weight in weights.items():
+        if weight != int(weight):
+            raise ValueError(f"weights are whole numbers, not {weight} for {name}")
         found = F.when(F.col(column) == name, F.lit(int(weight))).otherwise(found)
     return found.cast("decimal(12,0)")
 
