@@ -189,6 +189,17 @@ def test_sketches():
         assert found == 60 or shared / (shared + 2 * alone) < 0.7
 
 
+def test_estimates_rule_out_no_link_of_small_sets():
+    """Pairs exactly at the threshold, of every small size and some that fill the buckets."""
+    rng = np.random.default_rng(2)
+    for shared, one, other in [(3, 0, 1), (6, 0, 2), (6, 1, 1), (30, 5, 5), (300, 50, 50), (3000, 500, 500)]:
+        assert 100 * shared >= near_dedup.PERCENT * (shared + one + other)
+        for _ in range(3000 if shared < 100 else 100):
+            x = rng.integers(0, 2**63, shared + one + other, dtype=np.uint64) * np.uint64(2)
+            a, b = np.sort(x[: shared + one]), np.sort(np.concatenate([x[:shared], x[shared + one :]]))
+            assert near_dedup._linked(a, b) and not near_dedup.ruled_out(near_dedup.sketch(a), near_dedup.sketch(b), len(a), len(b))
+
+
 def test_word_hashes_do_not_depend_on_the_cut():
     text = " ".join(f"w{i % 977}é" for i in range(400_000))
     whole, together = next(near_dedup.shingle_sets([text])), list(near_dedup.shingle_sets(["x y", text[:5000], ""]))
@@ -263,6 +274,11 @@ def test_mixing_edges(spark):
     assert counts == [2, 2, 0, 0, 1]
 
 
+def test_mixing_refuses_fractions(spark):
+    with pytest.raises(ValueError, match="whole"):
+        mixing.mix(documents(spark, [(1, "a")]), ["lang"], [{"en": 0.5}])
+
+
 # URL filter
 
 
@@ -351,6 +367,22 @@ def test_license_signatures(text, labels):
     assert license_scan.scan_text(text)[5] == labels
 
 
+def test_every_license_rule_is_gated():
+    assert all(r.keywords for r in license_scan.signature_rules())
+    assert license_scan.scan_text("under CC0 1.0")[5] == "cc0" and license_scan.scan_text("under 1.0")[5] == ""
+
+
+def test_containment_like_a_plain_restatement():
+    rng = random.Random(12)
+    for _ in range(200):
+        spans = sorted({(-rng.choice([1, 2, 3]), a - b, a, b, rng.choice("xyz")) for a, b in (sorted(rng.sample(range(30), 2)) for _ in range(rng.randrange(40)))})
+        kept = []
+        for s in spans:
+            if not any(k[2] <= s[2] and s[3] <= k[3] for k in kept):
+                kept.append(s)
+        assert license_scan.uncontained(spans) == kept
+
+
 def test_license_gate_drops_nothing():
     texts = ["Licensed under the Apache License, Version 2.0. See also MIT license", "all rights reserved", "cc by nd 3.0", "dual BSD 3-clause license and ISC license", "https://www.gnu.org/licenses/gpl-3.0"]
     for text in texts:
@@ -492,6 +524,32 @@ def test_toxicity(spark):
     assert kept.columns == docs.columns and np.mean([truth[r["doc_id"]][1] for r in kept.collect() if r["doc_id"] in truth]) < 0.05
 
 
+def test_toxicity_score_by_hand(spark):
+    """One score recomputed with zstandard from the model's two dictionaries."""
+    import zstandard
+
+    docs, labels, _ = labelled(spark)
+    model = toxicity.train(docs, labels, F.lit(True))
+    assert model.ordinary[:4] == model.toxic[:4] == b"\x37\xa4\x30\xec" and model.ordinary != model.toxic
+    text = "Zorgak tho-re, 17 ing! " * 5 + "quibbots an es"
+    words = text.encode().lower().split()
+    parts = [b" " + b" ".join(words[i : i + 6]) + b" " for i in range(0, len(words), 6)]
+    sizes = []
+    for d in (model.ordinary, model.toxic):
+        log = max(17, (len(d) - 1).bit_length() + 1)
+        params = zstandard.ZstdCompressionParameters(window_log=log, chain_log=log, hash_log=log, search_log=4, min_match=4, target_length=16, strategy=zstandard.STRATEGY_BTOPT,
+                                                     write_content_size=False, write_checksum=False, write_dict_id=False)
+        held = zstandard.ZstdCompressionDict(d)
+        held.precompute_compress(compression_params=params)
+        by = zstandard.ZstdCompressor(dict_data=held, compression_params=params)
+        frames = [by.compress(p) for p in parts]
+        back = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(d))
+        assert [back.decompress(f, max_output_size=1000) for f in frames] == parts
+        sizes.append(np.array([len(f) for f in frames]))
+    z = toxicity.spread_of(sizes[0] - sizes[1]) @ model.weights[:-1] + model.weights[-1]
+    assert toxicity.score_texts([text], model)[0] == pytest.approx(1 / (1 + math.exp(-z)))
+
+
 def test_toxic_dictionary_is_trained_by_zstandard(spark):
     """Toxic strings inside words and of three letters count too, and zstandard makes the dictionary of them."""
     rng = random.Random(8)
