@@ -18,6 +18,8 @@ from tallyloom.llm.training import fold
 TOXIC = 0.3
 #: The share of the tokens that reach the mix which it draws, without repeats.
 SHARE = (4, 5)
+#: Segmentations of each text.
+NBEST = 4
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +44,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes what is left: doc_id, lang, source, ids."""
-    return encoded(docs, ["doc_id", "lang", "source"])
+    """Encodes what is left and decodes it again: doc_id, lang, source, ids, nbest (by A-star), text_sha256, round_trip."""
+    return encoded(docs, ["doc_id", "lang", "source"], NBEST)
 
 
 STAGES = [("toxicity", toxicity), ("exact dedup", exact), ("near dedup", near), ("mixing", mixing), ("pieces", encoding)]

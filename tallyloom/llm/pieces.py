@@ -38,6 +38,7 @@ _SPACE = "▁"
 _LITERAL = "\ud800"  # stands for a ▁ of the text, which is written as bytes; no valid text has this code
 _VECTOR_LENGTH = 48  # longer chunks are segmented one by one
 _HELD = 300_000  # distinct chunks that a worker remembers
+_ROWS = 500  # texts that are encoded together
 _BITS = 20
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
 
@@ -239,7 +240,7 @@ class Pieces:
 class Encoder:
     """Encodes batches of texts; remembers a bounded number of distinct chunks."""
 
-    def __init__(self, pieces: Pieces, n: int = 1):
+    def __init__(self, pieces: Pieces, n: int):
         self.pieces, self.n = pieces, n
         self.forget()
 
@@ -261,8 +262,8 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[float], list[np.ndarray]]]:
         """(ids, the N best scores, the N best id lists) of each text."""
-        for some in range(0, len(texts), 500):
-            split = [self.pieces.split(t or "") for t in texts[some : some + 500]]
+        for some in range(0, len(texts), _ROWS):
+            split = [self.pieces.split(t or "") for t in texts[some : some + _ROWS]]
             self._learn(split)
             for chunks in split:
                 at = np.fromiter(map(self.number.__getitem__, chunks), dtype=np.int64, count=len(chunks))
@@ -343,19 +344,46 @@ def encode_documents(docs: DataFrame, n: int = 4, model: str = MODEL, id_col: st
     return rows.mapInArrow(run, _SCHEMA)
 
 
-def encoded(docs: DataFrame, keep: list[str], model: str = MODEL, text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` and ``ids``, the best segmentation of the text."""
+def _departure(best: np.ndarray, other: np.ndarray) -> tuple[int, int, list[int]]:
+    """(at, drop, put): ``other`` is ``best`` with ``drop`` ids at ``at`` replaced by ``put``."""
+    most = min(len(best), len(other))
+    apart = np.flatnonzero(best[:most] != other[:most])
+    at = int(apart[0]) if len(apart) else most
+    apart = np.flatnonzero(best[::-1][: most - at] != other[::-1][: most - at])
+    behind = int(apart[0]) if len(apart) else most - at
+    return at, len(best) - at - behind, other[at : len(other) - behind].tolist()
+
+
+_WAY = pa.struct([("score", pa.float64()), ("at", pa.int32()), ("drop", pa.int32()), ("put", pa.list_(pa.int32()))])
+
+
+def encoded(docs: DataFrame, keep: list[str], n: int = 4, model: str = MODEL, text_col: str = "text") -> DataFrame:
+    """Columns ``keep``; ``ids``, the best segmentation of the text; ``nbest``, the ``n`` best, best first; ``text_sha256`` of the
+    decoded best one, and ``round_trip``: whether all ``n`` decode to the text.
+
+    A segmentation of ``nbest`` is its score and what tells it from ``ids``: ids[:at] + put + ids[at + drop:].
+    """
     held = docs.sparkSession.sparkContext.broadcast(model_bytes(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Pieces(held.value))
-        for b in batches:
-            ids = [x[0] for x in encoder.encode(b.column(len(keep)).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(ids, pa.list_(pa.int32()))], names=[*keep, "ids"])
+        pieces = Pieces(held.value)
+        encoder = Encoder(pieces, n)
+        for b in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
+            texts = b.column(len(keep)).to_pylist()
+            best, ways, digests, same = [], [], [], []
+            for text, (ids, scores, lists) in zip(texts, encoder.encode(texts), strict=True):
+                back = [pieces.decode(x) for x in lists]
+                best.append(ids)
+                ways.append([(score, *_departure(ids, x)) for score, x in zip(scores, lists, strict=True)])
+                digests.append(hashlib.sha256(back[0].encode()).hexdigest())
+                same.append(all(x == (text or "") for x in back))
+            cols = [pa.array(best, pa.list_(pa.int32())), pa.array(ways, pa.list_(_WAY)), pa.array(digests, pa.string()), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *cols], names=[*keep, "ids", "nbest", "text_sha256", "round_trip"])
 
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
     fields = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes[:-1])
-    return rows.mapInArrow(run, f"{fields}, ids array<int>")
+    way = "struct<score: double, at: int, drop: int, put: array<int>>"
+    return rows.mapInArrow(run, f"{fields}, ids array<int>, nbest array<{way}>, text_sha256 string, round_trip boolean")
 
 
 def decoded(rows: DataFrame, ids_col: str = "ids", out_col: str = "text", model: str = MODEL) -> DataFrame:

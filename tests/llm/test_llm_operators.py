@@ -492,6 +492,26 @@ def test_encoding_documents(spark, model):
     assert all(r["text"] == (r["was"] or "") for r in back.collect())
 
 
+def test_pipeline_takes_the_n_best(spark, model):
+    """The pipeline's last stage runs A-star and decodes: all paths of short texts are known, so are the four best."""
+    import corpus_pipeline
+
+    texts = [(1, "thing is"), (2, None), (3, ""), (4, "a\n ▁é"), (5, "日本"), (1, "thing is")]
+    out = corpus_pipeline.STAGES[-1][1](spark, documents(spark, texts), "")
+    found = out.collect()
+    assert len(found) == 6 and out.columns[:4] == ["doc_id", "lang", "source", "ids"]
+    for r in found:
+        text = dict(texts)[r["doc_id"]] or ""
+        whole = pieces._SPACE + text.replace("▁", pieces._LITERAL).replace(" ", "▁") if text else ""
+        paths = every_path(model, whole) if whole else [(0.0, [])]
+        real = {tuple(i): s for s, i in paths}
+        ways = [r["ids"][: w["at"]] + w["put"] + r["ids"][w["at"] + w["drop"] :] for w in r["nbest"]]
+        assert [w["score"] for w in r["nbest"]] == sorted((s for s, _ in paths), reverse=True)[:4] == [real[tuple(i)] for i in ways]
+        assert r["ids"] == ways[0] and len(set(map(tuple, ways))) == len(ways)
+        assert all(model.decode(i) == text for i in ways) and r["round_trip"] and r["text_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    assert corpus_pipeline.STAGES[-1][1](spark, documents(spark, []), "").count() == 0
+
+
 # classifiers
 
 
