@@ -26,6 +26,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,11 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.training import fold, labelled_sample, logistic, sigmoid
 
+_TEXTS = 2000  # texts that are scored together
 WINDOW, TRAINED_WINDOW = 6, 4  # words of a window that is compared, and of one that trains
 LONGEST = 512
 LEAST = 1000  # windows that a round hands on, if there are so many
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_LOWER = bytes(range(9)) + b" " * 5 + bytes(range(14, 65)) + bytes(range(97, 123)) + bytes(range(91, 256))  # and white space as spaces
 
 
 @dataclass
@@ -51,9 +53,12 @@ class Model:
 
 def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
     """The text's words, ``size`` at a time, between spaces."""
-    words = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
-    made = [b" " + b" ".join(words[i : i + size]) + b" " for i in range(0, len(words), size)]
-    if any(len(x) > LONGEST for x in made):
+    line = b" " + (text or "").encode("utf-8", "replace").translate(_LOWER) + b" "
+    if b"  " in line:
+        line = b" " + b" ".join(line.split()) + b" "
+    first = np.flatnonzero(np.frombuffer(line, dtype=np.uint8) == 32)[:-1:size].tolist() if len(line) > 2 else []
+    made = [line[i : j + 1] for i, j in zip(first, [*first[1:], len(line) - 1])]
+    if len(line) > LONGEST and max(map(len, made)) > LONGEST:
         made = [x[i : i + LONGEST] for x in made for i in range(0, len(x), LONGEST)]
     return made
 
@@ -75,8 +80,11 @@ class Distance:
         self.pair = compressor(ordinary), compressor(toxic)
 
     def gains(self, parts: list[bytes]) -> np.ndarray:
-        ordinary, toxic = (c.compress for c in self.pair)
-        return np.array([len(ordinary(x)) - len(toxic(x)) for x in parts], dtype=np.int64)
+        """Equal windows are compressed once; one dictionary after the other, so that its tables stay in the processor's cache."""
+        distinct = list(dict.fromkeys(parts))
+        ordinary, toxic = (np.fromiter(map(len, map(c.compress, distinct)), dtype=np.int64, count=len(distinct)) for c in self.pair)
+        found = dict(zip(distinct, (ordinary - toxic).tolist(), strict=True))
+        return np.fromiter(map(found.__getitem__, parts), dtype=np.int64, count=len(parts))
 
     def many_gains(self, parts: list[bytes], threads: int) -> np.ndarray:
         """The same on threads of zstandard's own, for training."""
@@ -85,21 +93,43 @@ class Distance:
         sizes = [np.array([len(x) for x in c.multi_compress_to_buffer(parts, threads=threads)], dtype=np.int64) for c in self.pair]
         return sizes[0] - sizes[1]
 
-    def features(self, text: str | None) -> np.ndarray:
-        return spread_of(self.gains(windows(text)))
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        parts = [windows(t) for t in texts]
+        return spreads(self.gains(list(chain.from_iterable(parts))), np.array([len(p) for p in parts], dtype=np.int64))
 
 
 def spread_of(gains: np.ndarray) -> np.ndarray:
-    """The mean and the median; how far the highest gains, and how many and which share of all, lie above the median; the number; how
+    return spreads(gains, np.array([len(gains)]))[0]
+
+
+def spreads(gains: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """One row for each text, whose gains stand one after another, ``counts`` of each.
+
+    The mean and the median; how far the highest gains, and how many and which share of all, lie above the median; the number; how
     far the sum lies from nothing, measured by the root of the number, for texts whose windows are all alike."""
-    n = len(gains)
-    if not n:
-        return np.zeros(10)
-    gains = np.clip(gains, -32, 32).astype(np.float64)
-    middle, mean = np.median(gains), gains.mean()
-    high = np.array([*np.quantile(gains, [0.9, 0.75]), np.sort(gains)[-3:].mean()]) - middle
-    four, six = ((gains - middle >= t).sum() for t in (4, 6))
-    return np.array([mean, middle, *high, np.log1p(four), np.log1p(six), np.sqrt(four / n), np.log1p(n), np.clip(mean * np.sqrt(n), -100, 100) / 4])
+    out = np.zeros((len(counts), 10))
+    n = counts[counts > 0]
+    if not len(n):
+        return out
+    gains = np.clip(gains, -32, 32)
+    of, first = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+    ranked = np.sort(of * 128 + gains + 64) % 128 - 64.0  # by text, then by gain
+
+    def quantile(q: float) -> np.ndarray:  # as numpy's
+        low = np.floor((n - 1) * q).astype(np.int64)
+        by = (n - 1) * q - low
+        a, b = ranked[first + low], ranked[first + np.minimum(low + 1, n - 1)]
+        return np.where(by >= 0.5, b - (b - a) * (1 - by), a + (b - a) * by)
+
+    mean = np.add.reduceat(gains, first) / n
+    middle = (ranked[first + (n - 1) // 2] + ranked[first + n // 2]) / 2
+    top = np.minimum(n, 3)
+    highest = sum(np.where(k < top, ranked[first + np.maximum(n - 1 - k, 0)], 0) for k in range(3)) / top
+    four, six = (np.add.reduceat((gains - middle[of] >= t).astype(np.int64), first) for t in (4, 6))
+    columns = [mean, middle, quantile(0.9) - middle, quantile(0.75) - middle, highest - middle, np.log1p(four), np.log1p(six), np.sqrt(four / n), np.log1p(n),
+               np.clip(mean * np.sqrt(n), -100, 100) / 4]
+    out[counts > 0] = np.stack(columns, axis=1)
+    return out
 
 
 def _trained(parts: list[bytes], size: int) -> bytes:
@@ -146,17 +176,17 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
         return Model(b"", b"", np.zeros(0), prior)
     by = Distance(ordinary, toxic)
     rest = np.flatnonzero(third) if third.any() and len(set(y[third].tolist())) == 2 else np.arange(len(y))
-    x = np.array([by.features(texts[i]) for i in rest])
+    x = by.features([texts[i] for i in rest])
     return Model(ordinary, toxic, logistic(x, y[rest], weights[rest]), prior)
 
 
 def score_texts(texts: list[str | None], model: Model, by: Distance | None = None) -> np.ndarray:
-    """Scores in the order of the texts; equal texts are compressed once."""
+    """Scores in the order of the texts; equal texts and equal windows are compressed once."""
     if not len(model.weights):
         return np.full(len(texts), model.prior)
     by = by or Distance(model.ordinary, model.toxic)
-    found = {t: by.features(t) for t in set(texts)}
-    x = np.array([found[t] for t in texts]).reshape(len(texts), -1)
+    at = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+    x = by.features(list(at))[[at[t] for t in texts]]
     return sigmoid(x @ model.weights[:-1] + model.weights[-1])
 
 
@@ -166,7 +196,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = Distance(held.value.ordinary, held.value.toxic) if len(held.value.weights) else None
-        for b in batches:
+        for b in (b.slice(at, _TEXTS) for b in batches for at in range(0, b.num_rows, _TEXTS)):
             found = score_texts(b.column(1).to_pylist(), held.value, by)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
@@ -189,7 +219,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, usable: Column, threshold: fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = Distance(held.value.ordinary, held.value.toxic) if len(held.value.weights) else None
-        for b in batches:
+        for b in (b.slice(i, _TEXTS) for b in batches for i in range(0, b.num_rows, _TEXTS)):
             found = score_texts(b.column(at).to_pylist(), held.value, by)
             yield b.filter(pa.array(found < threshold))
 

@@ -570,6 +570,43 @@ def test_toxicity_score_by_hand(spark):
     assert toxicity.score_texts([text], model)[0] == pytest.approx(1 / (1 + math.exp(-z)))
 
 
+def test_toxicity_compresses_equal_windows_once(spark):
+    """Texts that are scored together: each distinct window goes through each dictionary once, and every text scores as it does alone."""
+    docs, labels, _ = labelled(spark)
+    model = toxicity.train(docs, labels, F.lit(True))
+    by, seen = toxicity.Distance(model.ordinary, model.toxic), []
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def compress(self, part):
+            seen.append(part)
+            return self.inner.compress(part)
+
+    texts = ["zorgak tho re an ing es " * 40, None, "zorgak tho re an ing es mupfel", "", "x" * 1500, *[r["text"] for r in docs.limit(20).collect()], "", "tho"]
+    alone = [toxicity.score_texts([t], model)[0] for t in texts]
+    parts = [toxicity.windows(t) for t in texts]
+    gains = [np.array([len(by.pair[0].compress(x)) - len(by.pair[1].compress(x)) for x in p]) for p in parts]
+    by.pair = tuple(map(Counted, by.pair))
+    assert toxicity.score_texts(texts, model, by) == pytest.approx(alone, abs=1e-12)
+    assert sorted(seen) == sorted(2 * list({x for p in parts for x in p}))
+    for row, g in zip(by.features(texts), gains, strict=True):
+        g = np.clip(g, -32, 32)
+        want = [g.mean(), np.median(g), *(np.quantile(g, [0.9, 0.75]) - np.median(g)), np.sort(g)[-3:].mean() - np.median(g)] if len(g) else [0] * 5
+        assert row[:5] == pytest.approx(want) and row[8] == np.log1p(len(g))
+
+
+def test_toxicity_windows():
+    rng = random.Random(12)
+    texts = [None, "", " ", "\n\t", "A", " b", "c ", *("".join(rng.choice([" ", "  ", "\n", "\x0b", "\x1c", "\u3000", "A", "bc", "É", "'", "x" * 300]) for _ in range(rng.randrange(60))) for _ in range(3000))]
+    for text in texts:
+        words = low(text).encode().split()
+        for size in (1, 4, 6):
+            made = [b" " + b" ".join(words[i : i + size]) + b" " for i in range(0, len(words), size)]
+            assert toxicity.windows(text, size) == [w[i : i + toxicity.LONGEST] for w in made for i in range(0, len(w), toxicity.LONGEST)]
+
+
 def test_toxic_dictionary_is_trained_by_zstandard(spark):
     """Toxic strings inside words and of three letters count too, and zstandard makes the dictionary of them."""
     rng = random.Random(8)
