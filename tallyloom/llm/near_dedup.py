@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.spill import join_counted, written
+from tallyloom.functions.workers import tidy
 from tallyloom.operators.components import connected_components
 
 WORDS = 5
@@ -39,7 +40,7 @@ BUCKET_BITS, MANTISSA_BITS = 8, 10
 REGISTERS = 1 << BUCKET_BITS
 BAND_ROWS, BANDS = 4, 40
 BLOCK = 256
-_PIECE = 1 << 20  # bytes of text hashed at once
+_PIECE = 1 << 18  # bytes of text hashed at once
 
 _U = np.uint64
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -216,7 +217,7 @@ def _set_table(docs: DataFrame, wide: bool) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([b.column(0), n, pa.array(digests, pa.binary()), bands], names=["doc_id", "n", "digest", "bands"])
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, "doc_id bigint, n bigint, " + ("sketch binary, shingles binary" if wide else "digest binary, bands array<bigint>"))
+    return rows.mapInArrow(tidy(run), "doc_id bigint, n bigint, " + ("sketch binary, shingles binary" if wide else "digest binary, bands array<bigint>"))
 
 
 def _linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -245,7 +246,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"), F.col("shingles").alias("sb"))
     rows = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b")
-    return rows.select("a", "b", "na", "nb", "ka", "kb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    return rows.select("a", "b", "na", "nb", "ka", "kb", "sa", "sb").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def _pair(one: str, other: str) -> list[Column]:
@@ -290,7 +291,7 @@ def _in_blocks(apart: DataFrame, sets: DataFrame) -> DataFrame:
             yield _link_batch(found)
         yield _link_batch(block_links(held, now[0]) if held else [])
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def _link_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:

@@ -31,6 +31,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.workers import tidy
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = 10.0
 _BARRED = -1e8  # models give pieces that they hardly want still lower scores
@@ -341,7 +343,7 @@ def encode_documents(docs: DataFrame, n: int = 4, model: str = MODEL, id_col: st
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "n_pieces", "score", "ids_sha256", "nbest_scores", "nbest_sha256", "text_sha256", "round_trip"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, _SCHEMA)
+    return rows.mapInArrow(tidy(run), _SCHEMA)
 
 
 def _departure(best: np.ndarray, other: np.ndarray) -> tuple[int, int, list[int]]:
@@ -383,7 +385,7 @@ def encoded(docs: DataFrame, keep: list[str], n: int = 4, model: str = MODEL, te
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
     fields = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes[:-1])
     way = "struct<score: double, at: int, drop: int, put: array<int>>"
-    return rows.mapInArrow(run, f"{fields}, ids array<int>, nbest array<{way}>, text_sha256 string, round_trip boolean")
+    return rows.mapInArrow(tidy(run), f"{fields}, ids array<int>, nbest array<{way}>, text_sha256 string, round_trip boolean")
 
 
 def decoded(rows: DataFrame, ids_col: str = "ids", out_col: str = "text", model: str = MODEL) -> DataFrame:
@@ -398,4 +400,4 @@ def decoded(rows: DataFrame, ids_col: str = "ids", out_col: str = "text", model:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out_col])
 
     fields = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes)
-    return rows.mapInArrow(run, f"{fields}, `{out_col}` string")
+    return rows.mapInArrow(tidy(run), f"{fields}, `{out_col}` string")

@@ -34,6 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.workers import tidy
 from tallyloom.llm.training import fold, labelled_sample, logistic, sigmoid
 
 _TEXTS = 2000  # texts that are scored together
@@ -201,7 +202,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, score double")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, threshold: float = 0.3, **training) -> DataFrame:
@@ -223,4 +224,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, usable: Column, threshold: fl
             found = score_texts(b.column(at).to_pylist(), held.value, by)
             yield b.filter(pa.array(found < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
